@@ -1,0 +1,85 @@
+"""Labelled exemplars of residue, and of genuine text that speaks about it.
+
+Fixed values: invented and commonly known sentences, one per line. SLOT stands for an open template field. The
+words script, scripts, JavaScript and JS count as one word when exemplars and passages are compared.
+"""
+
+RESIDUE = {
+    "template": [
+        "Describe the finding in two sentences.", "Add a description of the unit here.", "Replace this paragraph with your own text.",
+        "Sample text goes here.", "Insert your text here.", "Your content goes here.", "Hier steht ein Beispieltext.", "Text hier einfügen.",
+        "此处填写说明", "在此输入内容", "示例文本", "Diese Vorlage wurde nicht ausgefüllt", "This template has not been filled in.",
+        "include not found", "Notice: undefined variable title in template line 9", "Notice: undefined variable owner unit date in template line",
+        "stub: no content for this section", "draft: no content for this section", "placeholder: no content for this section", "Content coming soon.",
+        "This section is intentionally left blank.", "undefined undefined undefined NaN", "null null null", "object Object",
+    ],
+    "filler": [
+        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+        "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
+        "Lorem ipsum dolor vexa pulsa ostra corva nemit quiba runtam tenor arvit morsu velum sedil laten",
+        "blah blah blah, more blah", "asdf asdf qwer asdf", "TBD TBD TBD", "TODO TODO TODO", "Text text text text", "test test test test", "foo bar baz foo bar", "xxx xxx xxx",
+    ],
+    "error": [
+        "404 Not Found", "The requested page could not be located on this server.", "The requested URL was not found on this server.",
+        "This page doesn't exist or has been moved.", "This page does not exist (any more).", "Go back to the start page.", "Page not found.",
+        "500 Internal Server Error", "Traceback (most recent call last): handler", "Oops! Something broke on our side.", "Something went wrong.", "Try again in a few minutes.", "Try again later.",
+        "502 Bad Gateway", "The upstream did not answer in time.", "The upstream closed the connection.", "The backend gave no answer.", "504 Gateway Time-out", "503 Service Unavailable", "HTTP 410 Gone",
+        "Our servers are busy right now.", "Reload in 9 seconds.", "We are down for maintenance and will be back shortly.",
+        "Access denied", "403 Forbidden", "401 Unauthorized: unusual traffic from your network", "Not authorised: unusual traffic from your network", "Access denied: unusual traffic from your network", "Forbidden: unusual traffic from your network",
+        "Access to this page has been denied because we believe you are using automation tools.", "Repository access blocked.", "Contact the owner of this content.", "It may be private.",
+        "Your account has no seat in this space.", "Your session has expired.", "Sign in again to view this document.", "Please log in to continue.", "Read more... (login required to load the rest)",
+        "Too many requests.", "Your address is limited for the next 9 seconds.", "API rate limit exceeded", "message API rate limit exceeded status 403", "Error: failed to load the rest of this page.",
+        "We could not load this file.", "We could not load this page.", "We could not load this wiki entry.", "We could not load this thread.", "We could not load this document.", "Check your connection.", "Retry?", "content unavailable: request timed out",
+        "Error Code NoSuchKey Code Message The key is not there. Message", "Checking your browser before the page opens.", "This takes about five seconds.", "Verify that you are human.",
+        "Seite nicht gefunden.", "Die angeforderte Adresse existiert nicht (mehr).", "Ein Fehler ist aufgetreten.", "Zugriff verweigert.",
+        "页面不存在或已被删除。", "请返回首页。", "错误编号", "服务器繁忙,请稍后再试。", "访问被拒绝", "Bad request", "Connection timed out.", "Connection reset.",
+    ],
+    "scripts": [
+        "Please enable JavaScript to continue using this application.", "Please enable JavaScript to view this page.", "You need to allow scripts in order to view this thread.", "You need to enable scripts to run this app.",
+        "This site works only with scripts turned on.", "Check the settings of your browser and reload.", "JavaScript is disabled in your browser.", "Some parts of this page will not load.",
+        "Loading... if nothing appears, turn on JS and cookies.", "You have scripts switched off, so there is nothing to show.", "This app requires scripts.", "This site requires JavaScript.", "This page requires scripts.", "Our wiki requires scripts.", "The log console requires scripts.",
+        "This app needs scripts.", "This site needs scripts.", "Our wiki needs client-side scripting.", "The log console needs client-side scripting.", "This app relies on scripts.", "Our wiki relies on scripts.", "The log console relies on scripts.",
+        "This app does not run without scripts.", "Our wiki does not run without scripts.", "The log console does not run without scripts.", "Turn on scripts in your settings to go on.", "Activate JS and reload.", "Allow scripts and reload.", "Enable scripts and reload.", "Switch on scripts and reload.", "Turn on scripts and reload.",
+        "Activate scripts for this site.", "Allow scripts for this site.", "Enable scripts for this site.", "Switch on scripts for this site.", "Turn on scripts for this site.",
+        "Heads up: without scripts, nothing will load here.", "Note: without scripts, this page stays empty.", "Sorry, without scripts, we cannot show the content.",
+        "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "您的浏览器不支持脚本,无法显示内容。", "请启用 JavaScript 后刷新页面。",
+    ],
+}
+
+# Common notices follow a few patterns, so these exemplars are built by rule.
+RESIDUE["scripts"] += [
+    f"{lead} without scripts, {end}." for lead in ("Heads up:", "Note:", "Sorry,", "Warning:")
+    for end in ("nothing will load here", "this page stays empty", "we cannot show the content")
+]
+RESIDUE["scripts"] += [
+    f"{what} {needs} scripts." for what in ("This app", "This site", "This page", "Our wiki", "The log console", "The diff view", "The viewer")
+    for needs in ("requires", "requires client-side", "needs", "needs client-side", "relies on", "does not run without", "does not work without")
+]
+RESIDUE["scripts"] += [
+    f"{do} scripts {why}." for do in ("Activate", "Enable", "Allow", "Switch on", "Turn on")
+    for why in ("and reload", "for this site", "to read this page", "to go on", "in your settings to go on", "in your browser")
+]
+RESIDUE["error"] += [
+    f"{code}: {why}." for code in ("401 Unauthorized", "403 Forbidden", "Not authorised", "Access denied")
+    for why in ("unusual traffic from your network", "your account has no seat in this space", "sign in to see this space", "you have no permission to view this page")
+]
+RESIDUE["error"] += ["The document you asked for has moved or never existed.", "The page you asked for has moved or never existed."]
+
+GENUINE = [
+    "Our report template prints SLOT and SLOT per row, and the writer fills both from the header.",
+    "The podspec sets SLOT as a search path, which the parser expands before it compares.",
+    "In the wizard the fields SLOT and SLOT are filled by the user before anything is stored.",
+    "Tokens such as SLOT and SLOT are replaced by the preprocessor, hence the literal never ships.",
+    "Bundle ids such as SLOT are resolved from the release settings.",
+    "The format SLOT is a log string and carries a value.",
+    "The sample target ships a lorem ipsum string table, so its literals are skipped by the scan.",
+    "There is a TODO that asks for a placeholder image; it does not touch the defaults.",
+    "The help viewer falls back to a noscript block, since the web view may have JavaScript disabled.",
+    "The embedded help shows the sentence \"Please enable JavaScript to continue\" on old systems, and we only count its defaults.",
+    "When the artifact has expired the download ends with 404 Not Found and the job is marked as not collected.",
+    "A page not found answer clears the cached date and nothing else.",
+    "The class logs \"Access denied\" whenever the keychain is locked, and that line is not a site.",
+    "When the session has expired the app asks the user to sign in again and writes no key.",
+    "The rate limit counts too many requests per minute with the uptime clock.",
+    "The retry wrapper treats 502 Bad Gateway and 503 Service Unavailable alike.",
+]
