@@ -52,18 +52,22 @@ RESIDUE["scripts"] += [
     for end in ("nothing will load here", "this page stays empty", "we cannot show the content")
 ]
 RESIDUE["scripts"] += [
-    f"{what} {needs} scripts." for what in ("This app", "This site", "This page", "Our wiki", "The log console", "The diff view", "The viewer")
+    f"{what} {needs} scripts." for what in ("This app", "This site", "This page", "Our wiki", "The log console", "The diff view", "This viewer")
     for needs in ("requires", "requires client-side", "needs", "needs client-side", "relies on", "does not run without", "does not work without")
 ]
 RESIDUE["scripts"] += [
     f"{do} scripts {why}." for do in ("Activate", "Enable", "Allow", "Switch on", "Turn on")
-    for why in ("and reload", "for this site", "to read this page", "to go on", "in your settings to go on", "in your browser")
+    for why in ("and reload", "for this site", "to read this page", "to go on", "in your settings to go on", "in your browser", "or use another browser")
 ]
 RESIDUE["error"] += [
     f"{code}: {why}." for code in ("401 Unauthorized", "403 Forbidden", "Not authorised", "Access denied")
-    for why in ("unusual traffic from your network", "your account has no seat in this space", "sign in to see this space", "you have no permission to view this page")
+    for why in ("unusual traffic from your network", "your account has no seat in this space", "sign in to see this space",
+                "you lack permission to open this page thread document report artifact file wiki entry", "ask the owner of this page thread document report artifact file wiki entry for access")
+]
+RESIDUE["error"] += [
+    f"The {what} you asked for {end}." for what in ("document", "page", "thread", "report", "artifact", "file", "wiki entry")
+    for end in ("has moved or never existed", "was deleted", "could not be located")
 ]
-RESIDUE["error"] += ["The document you asked for has moved or never existed.", "The page you asked for has moved or never existed."]
 
 GENUINE = [
     "Our report template prints SLOT and SLOT per row, and the writer fills both from the header.",
