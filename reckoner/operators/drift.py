@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import jaccard, name_words
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 # The fields of an annotation record and the JSON types they have where nothing drifted.
 RECORD_FIELDS = {
@@ -30,6 +30,7 @@ RECORD_FIELDS = {
 }
 
 SKETCH_BINS = 64
+MAX_KEYS = 10_000  # drifting keys up to which their list is broadcast
 NAME_WEIGHT, VALUE_WEIGHT, TYPE_WEIGHT, LEAST_SCORE = 0.55, 0.35, 0.10, 0.30
 
 
@@ -133,7 +134,7 @@ def match_keys(recs: DataFrame, profile: DataFrame, fields: dict[str, str] = REC
     distinct = versions.where((F.size("unknown") > 0) & (F.size("lacking") > 0)).select("unknown", "lacking").distinct()
     edges = distinct.select("unknown", "lacking", F.explode("unknown").alias("key")).select("*", F.explode("lacking").alias("field"))
     wanted = edges.select("key").union(edges.select("field")).distinct()
-    sketches = value_sketches(recs, wanted)
+    sketches = value_sketches(recs, broadcast_if_small(wanted, MAX_KEYS))
     types = F.create_map(*[x for f, t in fields.items() for x in (F.lit(f), F.lit(t))])
     k, f = sketches.alias("k"), sketches.select(F.col("key").alias("field"), F.col("bins").alias("fbins"), F.col("types").alias("ftypes")).alias("f")
     scored = (
