@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import spelling
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 DEFAULT_TOKENIZER = os.environ.get("RECKONER_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 MAX_TARGETS = 100_000  # rows of mix_targets up to which rates are broadcast
@@ -57,6 +57,7 @@ def plan(sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
 
     reached is the expected share of the source in its mix; is_short tells that max_repeat * size < wanted.
     """
+    sizes = cut(sizes)  # one row per source; texts are tokenized once, not once per use
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     per = sizes.where(F.col("source").isNotNull())
     t = mix_targets.select("mix_id", F.col("source").alias("label"), spelling(F.col("source")).alias("source"), "weight", "max_repeat")
