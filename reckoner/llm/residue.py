@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .exemplars import GENUINE, RESIDUE
 
 SLOT = "⟦slot⟧"
@@ -143,7 +144,7 @@ def candidate_windows(documents: DataFrame, index: Index) -> DataFrame:
 def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, passage, family, cover): the windows that are residue, with the family and coverage of the best exemplar."""
     index = index or Index()
-    found = candidate_windows(documents, index)
+    found = cut(candidate_windows(documents, index))  # few windows of the corpus; texts are scanned once for them
     distinct = found.select("terms", "exemplars", "has_field").distinct()
     idf = (
         term_counts(documents).join(distinct.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
