@@ -47,7 +47,7 @@ def records(raw: DataFrame) -> DataFrame:
     """The lines that hold a JSON object, with rec: map<string, variant>; other lines are left out."""
     v = F.try_parse_json("raw")
     body = raw.where(F.col("raw").isNotNull() & ~F.col("raw").rlike(r"^\s*(#|$)")).withColumn("_v", v)
-    return body.where(F.schema_of_variant("_v").startswith("OBJECT")).withColumn("rec", F.expr("cast(_v as map<string,variant>)")).drop("_v")
+    return body.where(F.schema_of_variant("_v").startswith("OBJECT")).withColumn("rec", F.expr("try_variant_get(_v, '$', 'map<string,variant>')")).drop("_v")
 
 
 def profile_files(recs: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def tri_state(value: Column) -> Column:
     t = json_type(value)
     inner = (
         F.when(t == "array", F.expr("try_variant_get(x, '$[0]', 'string')")).when(t == "object", F.expr("try_variant_get(x, '$.value', 'string')"))
-        .otherwise(F.expr("try_cast(x as string)"))
+        .otherwise(F.expr("try_variant_get(x, '$', 'string')"))
     )
     s = F.upper(inner)
     return F.when(s.isin("TRUE", "1"), "YES").when(s.isin("FALSE", "0"), "NO").when(s == "-1", "UNKNOWN").otherwise(s)
@@ -190,7 +190,7 @@ def tri_state(value: Column) -> Column:
 
 # Verdicts come as an object, as JSON text of one, as [[id, verdict], ...], as [{id, verdict}, ...] or as id=verdict;id=verdict.
 _ENTRIES = """
-case when t = 'array' then transform(try_cast(x as array<variant>), e ->
+case when t = 'array' then transform(try_variant_get(x, '$', 'array<variant>'), e ->
           if(schema_of_variant(e) like 'OBJECT%',
              struct(coalesce(try_variant_get(e, '$.id', 'string'), '') as k, try_variant_get(e, '$.verdict', 'variant') as v),
              struct(coalesce(try_variant_get(e, '$[0]', 'string'), '') as k, try_variant_get(e, '$[1]', 'variant') as v)))
@@ -198,8 +198,8 @@ case when t = 'array' then transform(try_cast(x as array<variant>), e ->
              struct(trim(substring_index(p, '=', 1)) as k, try_parse_json(concat('"', trim(substring_index(p, '=', -1)), '"')) as v)) end
 """
 _VERDICTS = """
-case when t = 'object' then try_cast(x as map<string,variant>)
-     when t = 'string' and ltrim(x_text) like '{%' then try_cast(try_parse_json(x_text) as map<string,variant>)
+case when t = 'object' then try_variant_get(x, '$', 'map<string,variant>')
+     when t = 'string' and ltrim(x_text) like '{%' then try_variant_get(try_parse_json(x_text), '$', 'map<string,variant>')
      when entries is not null then map_from_entries(filter(entries, (e, i) -> array_position(transform(entries, z -> z.k), e.k) = i + 1)) end
 """
 
@@ -218,15 +218,15 @@ def unify(raw: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
     body = body.withColumn("rec", rec)
     plain = [f for f in fields if f not in ("exceeds_all_reasons", "constraint_verdicts", "value_fate")]
     text = [F.expr(f"if(schema_of_variant(rec['{f}']) in ('VOID'), null, cast(rec['{f}'] as string))").alias(f) for f in plain]
-    verdict = "struct(if(schema_of_variant(v) like 'OBJECT%', null, try_cast(v as string)) as scalar, if(schema_of_variant(v) like 'OBJECT%', try_cast(v as map<string,string>), null) as by_domain)"
+    verdict = "struct(if(schema_of_variant(v) like 'OBJECT%', null, try_variant_get(v, '$', 'string')) as scalar, if(schema_of_variant(v) like 'OBJECT%', try_variant_get(v, '$', 'map<string,string>'), null) as by_domain)"
     known = ",".join(f"'{f}'" for f in fields)
     out = body.select(
         "run_id", "file_seq", "file_name", "line_no", "arrived_at", *text,
-        F.expr("try_cast(rec['value_fate'] as array<string>)").alias("value_fate"),
+        F.expr("try_variant_get(rec['value_fate'], '$', 'array<string>')").alias("value_fate"),
         F.expr("rec['exceeds_all_reasons']").alias("x"), F.expr("rec['constraint_verdicts']").alias("c"),
         F.expr(f"transform_values(map_filter(rec, (k, v) -> k not in ({known})), (k, v) -> to_json(v))").alias("extra"),
     )
     out = out.withColumn("exceeds_all_reasons", tri_state(F.col("x"))).drop("x").withColumnRenamed("c", "x")
-    out = out.withColumn("t", json_type(F.col("x"))).withColumn("x_text", F.expr("try_cast(x as string)"))
+    out = out.withColumn("t", json_type(F.col("x"))).withColumn("x_text", F.expr("try_variant_get(x, '$', 'string')"))
     out = out.withColumn("entries", F.expr(_ENTRIES)).withColumn("m", F.expr(_VERDICTS))
     return out.withColumn("constraint_verdicts", F.expr(f"transform_values(m, (k, v) -> {verdict})")).drop("x", "t", "x_text", "entries", "m")

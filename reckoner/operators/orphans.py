@@ -107,5 +107,5 @@ def site_orphans(annotation: DataFrame, site: DataFrame) -> DataFrame:
     masks = [["site_id"], ["prefix"], ["unit_location", "file", "line"], ["file", "line"]]
     found = find_orphans(site_references(annotation), targets, masks, ["site_id", "prefix", "unit_location", "file", "line"], "annotated_at", "scanned_at", "dropped_at")
     return found.groupBy("ann_id", "field", "site_ref").agg(
-        F.min_by("reason", "annotated_at").alias("reason"), F.min(F.date_format("annotated_at", "yyyy-MM")).alias("month")
+        F.min_by("reason", F.struct("annotated_at", "reason")).alias("reason"), F.min(F.date_format("annotated_at", "yyyy-MM")).alias("month")
     )

@@ -36,10 +36,10 @@ def privacy_declares(content: pd.Series) -> pd.Series:
 
 def read_json_manifests(spark: SparkSession, path: str, schema: T.StructType, name: str = "manifest.json") -> DataFrame:
     """One row per manifest; an unreadable one has its text in `_corrupt` and nulls elsewhere; `has` tells which keys are there."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
     rec = F.from_json("raw", schema)
     v = F.try_parse_json("raw")
-    return raw.select("file", rec.alias("m"), F.map_keys(F.expr("try_cast(try_parse_json(raw) as map<string,variant>)")).alias("has"), F.when(v.isNull(), F.col("raw")).alias("_corrupt")).select("file", "m.*", "has", "_corrupt")
+    return raw.select("file", rec.alias("m"), F.map_keys(F.expr("try_variant_get(try_parse_json(raw), '$', 'map<string,variant>')")).alias("has"), F.when(v.isNull(), F.col("raw")).alias("_corrupt")).select("file", "m.*", "has", "_corrupt")
 
 
 def parse_pins(text: Column) -> Column:

@@ -22,7 +22,7 @@ def line_kind(line: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ln, line, kind, unit): the numbered lines of every file below path."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
     unit = F.concat_ws("/", F.regexp_extract("file", UNIT_IN_NAME, 1), F.regexp_extract("file", UNIT_IN_NAME, 2))
     return rows.withColumn("kind", line_kind(F.col("line"))).withColumn("unit", F.when(F.col("file").rlike(UNIT_IN_NAME), unit))

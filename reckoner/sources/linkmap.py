@@ -26,7 +26,7 @@ def hex_long(c: Column) -> Column:
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     """(map_id, ln, line) of every map below path; .gz files are read as they are."""
-    return tag_lines(spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.input_file_name().alias("map_id"), F.posexplode(F.split("value", "\r?\n")).alias("ln", "line")))
+    return tag_lines(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("map_id"), F.posexplode(F.split("value", "\r?\n")).alias("ln", "line")))
 
 
 def tag_lines(lines: DataFrame) -> DataFrame:
