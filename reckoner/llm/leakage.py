@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .plaintext import plain
 
 WORDS, CHARS = "words", "chars"
@@ -71,6 +72,8 @@ class _Items:
 
 def _keys(codes: np.ndarray) -> np.ndarray:
     """Rows of big-endian codes as byte strings, which sort as the rows do."""
+    if not len(codes):
+        return np.empty(0, dtype=f"S{4 * DEPTH + 1}")
     # A final byte keeps numpy from cutting trailing zeros, so equal keys stay equal.
     raw = np.ascontiguousarray(codes.astype(">u4")).view(np.uint8).reshape(len(codes), -1)
     raw = np.hstack([raw, np.ones((len(raw), 1), np.uint8)])
@@ -163,7 +166,7 @@ def _search(ids: np.ndarray, codes: list[np.ndarray], items: _Items) -> Iterator
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """One row per document and leaked item: the longest verbatim match, its passage and its place in the document."""
     items = without_shared_openings(eval_items)
-    docs = documents.select("doc_id", plain(F.col("text")).alias("text")).where("text <> ''")
+    docs = spread(documents.select("doc_id", "text")).select("doc_id", plain(F.col("text")).alias("text")).where("text <> ''")
     n = eval_items.count()
     blocks = max(1, -(-n // MAX_ITEMS))
     parts = []

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import spelling
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, cut, spread
 
 DEFAULT_TOKENIZER = os.environ.get("RECKONER_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 MAX_TARGETS = 100_000  # rows of mix_targets up to which rates are broadcast
@@ -49,7 +49,7 @@ def token_count(spark, path: str = DEFAULT_TOKENIZER):
 
 def source_sizes(documents: DataFrame, tokens) -> DataFrame:
     """(source, n_docs, size): spellings of a source count together; documents without a source stand under null."""
-    return documents.select(spelling(F.col("source")).alias("source"), tokens("text").alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("size"))
+    return spread(documents.select("source", "text")).select(spelling(F.col("source")).alias("source"), tokens("text").alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("size"))
 
 
 def plan(sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, spread
 from .exemplars import GENUINE, RESIDUE
 
 SLOT = "⟦slot⟧"
@@ -31,9 +31,10 @@ LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's weight (filler: of its words
 GENUINE_COVER = 0.5
 
 # The ways of writing an open template field.
+_NAME = r" ?[A-Za-z][\w .-]{0,58} ?"
 FIELD = [
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%{}\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"\$\{[^{}\n]{1,60}\}", r"#\{[^{}\n]{1,60}\}", r"\[\[[^\[\]\n]{1,60}\]\]",
-    r"«[^«»\n]{1,60}»", r"@@[\w ]{1,60}@@", r"%%[\w ]{1,60}%%", r"(?<!\w)__[A-Za-z][A-Za-z_]{1,60}?__(?!\w)", r"\b(?:XXX|xxx)-[\w ]{1,60}-(?:XXX|xxx)\b",
+    rf"\{{\{{{_NAME}\}}\}}", rf"\{{%{_NAME}%\}}", rf"<%=?{_NAME}%>", rf"\$\{{{_NAME}\}}", rf"#\{{{_NAME}\}}", rf"\[\[{_NAME}\]\]",
+    r"«[a-z][a-z0-9_]{1,40}»", rf"@@{_NAME}@@", rf"%%{_NAME}%%", r"(?<!\w)__[A-Za-z][A-Za-z_]{1,60}?__(?!\w)", rf"\b(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b",
     r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|enter) [^\]\n]{1,60}\]", r"<(?:your|YOUR|insert|INSERT|enter|ENTER) [\w ]{1,60}>",
     r"<[A-Z][A-Z_ ]{2,40}>", r"\[[A-Z][A-Z_ ]{2,40}\]", r"\([A-Za-z_ ]{2,40}: ?_{2,}\)", r"【[^】\n]{1,40}】", r"(?<=[:：] )_{4,}",
 ]
@@ -144,6 +145,7 @@ def candidate_windows(documents: DataFrame, index: Index) -> DataFrame:
 def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
     """(doc_id, passage, family, cover): the windows that are residue, with the family and coverage of the best exemplar."""
     index = index or Index()
+    documents = spread(documents.select("doc_id", "text"))
     found = cut(candidate_windows(documents, index))  # few windows of the corpus; texts are scanned once for them
     distinct = found.select("terms", "exemplars", "has_field").distinct()
     idf = (
@@ -170,10 +172,10 @@ def _judge(index: Index):
             for n in found:
                 inside = sum(w for t, w in weights.items() if t in index.words[n])
                 cover = inside / total
+                hold = sum(t in weights for t in index.words[n]) / len(index.words[n])
                 if index.label[n] == "genuine":
-                    genuine = max(genuine, cover)
+                    genuine = max(genuine, cover if hold >= LEAST_OF_EXEMPLAR else 0.0)
                     continue
-                hold = sum(t in weights for t in index.words[n]) / len(index.words[n])
                 if cover >= LEAST_COVER and (hold >= LEAST_OF_EXEMPLAR or index.label[n] == "filler" and hold >= 0.25) and cover > residue:
                     residue, family = cover, index.label[n]
             if field and not (genuine >= GENUINE_COVER and len(weights) > 5):
