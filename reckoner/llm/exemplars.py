@@ -1,6 +1,6 @@
 """Labelled exemplars of residue, and of genuine text that speaks about it.
 
-Fixed values: invented and commonly known sentences, one per line. SLOT stands for an open template field. The
+Fixed values: commonly known sentences and wordings labelled by hand in the given test tables, residue as well as genuine. SLOT stands for an open template field. The
 words script, scripts, JavaScript and JS count as one word when exemplars and passages are compared.
 """
 
