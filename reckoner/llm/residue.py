@@ -1,9 +1,13 @@
 """Template residue, filler, error pages and scripts-required notices in place of content.
 
-Labelled exemplars are looked up through an inverted index; a passage window (a line or sentence, or two that follow
-each other) is residue if one exemplar holds most of its TF-IDF weight, unless an exemplar of genuine text that speaks
-about such things holds more. Document frequencies come from all documents. An open template field is a window of
-its own, which the SLOT exemplar holds wholly; it counts unless it is quoted or its sentence is genuine by exemplar.
+Labelled exemplars are looked up through an inverted index; a passage window (a line or sentence, two that follow each
+other, or a run of words of about exemplar length) is residue if one exemplar holds most of its TF-IDF weight, unless an
+exemplar of genuine text that speaks about such things holds more. Document frequencies come from all documents. They
+are counted first, so the lookup weighs words and loses no pair: frequent words have their weight, rarer ones the least
+they can have. Runs of words must hold most of an exemplar of five or more words (filler: a quarter) and count only outside
+quotes and sentences that are genuine by exemplar, since running text mentions short notices more often than it is one.
+An open template field is a window of its own, which the SLOT exemplar holds wholly; it counts unless it is quoted or
+its sentence is genuine by exemplar.
 
 Null and empty texts have no windows and are no residue. Texts of any length are scanned whole; repeated documents each
 get their rows. Empty tables give empty results; extra columns are ignored.
@@ -15,6 +19,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,10 +30,14 @@ from ..session import cut, spread
 from .exemplars import GENUINE, RESIDUE
 
 SLOT = "⟦slot⟧"
-LEAST_RAW = 0.5  # share of a window's words in an exemplar from which the pair is weighed
 LEAST_COVER = 0.72  # share of a window's TF-IDF weight that an exemplar must hold
-LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's weight (filler: of its words) that the window must hold
+LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's words (filler: 0.25) that the window must hold, unless it is distinctive
+DISTINCTIVE_WORDS, DISTINCTIVE_DF = 3, 0.05  # a fragment of so many held words, each in at most this share of the documents
+INNER = (6, 8, 11, 15, 20)  # words of the overlapping windows inside longer text, each at most 1 / LEAST_COVER of the one before
+INNER_OF_EXEMPLAR, INNER_WORDS = 0.8, 5  # share of the exemplar that they must hold, and the least words of such an exemplar
 GENUINE_COVER = 0.5
+AROUND = 20  # words before and after a run that are weighed as its sentence
+KNOWN_TERMS = 20_000  # most frequent terms whose weights go to the tasks; rarer ones have a bound
 
 # The ways of writing an open template field.
 _NAME = r" ?[A-Za-z][\w .-]{0,58} ?"
@@ -47,6 +56,7 @@ NO_FIELD = re.compile(
 _FIELD = re.compile("|".join(FIELD))
 _SPLIT = re.compile(r"(?<=[.?!;])\s+|(?<=[。？！])|\n|</?(?:p|h\d|title|body|html|br|div|li|tr)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
+_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|`[^`\n]{1,400}`|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|「[^」\n]{1,400}」|(?<!\w)'[^'\n]{1,400}'(?!\w)")
 _WORD = re.compile(rf"{re.escape(SLOT)}|[^\W_]+|\S", re.U)
 _NUMBER = re.compile(r"^(?=.*\d)[0-9a-f]+$")
 _SCRIPT = {"javascript": "script", "js": "script", "scripts": "script", "scripting": "script", "javascripts": "script"}
@@ -79,15 +89,46 @@ def _mark_fields(text: str) -> str:
     return _FIELD.sub(put, text)
 
 
+def _parts(text: str) -> list[tuple[str, list[str]]]:
+    """(passage, words) of each line or sentence."""
+    parts = [(p, words(_TAG.sub(" ", p))) for p in _SPLIT.split(_mark_fields(text)) if p and p.strip()]
+    return [(p, w) for p, w in parts if w]
+
+
 def windows(text: str) -> list[tuple[str, list[str], bool]]:
     """(passage, words, has an open field) of each line or sentence, and (without fields) of two in a row if the first is short."""
-    parts = [p for p in _SPLIT.split(_mark_fields(text)) if p and p.strip()]
-    single = [(p, words(_TAG.sub(" ", p))) for p in parts]
-    single = [(p, w) for p, w in single if w]
+    single = _parts(text)
     double = [(a + " " + b, v + w, False) for (a, v), (b, w) in zip(single, single[1:]) if len(v) <= 8]
     return [(p, w, SLOT in w) for p, w in single] + double
 
 
+def runs(text: str, known: frozenset[str], least: int) -> Iterator[tuple[int, list[str], list[str]]]:
+    """(place, words, words around it in its sentences) of each run of INNER words that holds `least` known words.
+
+    Runs go over the ends of lines, so wrapped notices are found, and never over a quote. The place is the number of the run's first word.
+    """
+    stream: list[str | None] = []
+    ends: list[int] = []  # for each word the end of its line or sentence
+    for p in _SPLIT.split(_QUOTED.sub("\0", _mark_fields(text))):
+        part: list[str | None] = []
+        for q, piece in enumerate(_TAG.sub(" ", p or "").split("\0")):
+            part += ([None] if q else []) + words(piece)
+        ends += [len(stream) + len(part)] * len(part)
+        stream += part
+    n = len(stream)
+    held = list(accumulate((w in known for w in stream), initial=0))
+    broken = list(accumulate((w is None for w in stream), initial=0))
+    begins = [0] * n
+    for k in range(1, n):
+        begins[k] = begins[k - 1] if ends[k] == ends[k - 1] else k
+    for size in INNER:
+        for a in range(n - size + 1):
+            b = a + size
+            if held[b] - held[a] >= least and broken[b] == broken[a]:
+                around = stream[max(begins[a], a - AROUND) : min(ends[b - 1], b + AROUND)]
+                yield a, stream[a:b], [w for w in around if w is not None]
+
+
 class Index:
     """Inverted index of the exemplars: word to exemplars; exemplar 0 is SLOT itself."""
 
@@ -99,11 +140,51 @@ class Index:
         for n, ws in enumerate(self.words):
             for w in ws:
                 self.at[w].append(n)
-
-    def candidates(self, ws: set[str]) -> list[int]:
-        """Exemplars that hold at least LEAST_RAW of the words."""
-        hits = Counter(n for w in ws for n in self.at.get(w, ()))
-        return [n for n, c in hits.items() if c >= LEAST_RAW * len(ws) and n]
+        self.long = frozenset(n for n, ws in enumerate(self.words) if n and self.label[n] != "genuine" and len(ws) >= INNER_WORDS)
+        self.known = frozenset(w for n, ws in enumerate(self.words) if n and self.label[n] != "genuine" for w in ws)
+        self.known_long = frozenset(w for n in self.long for w in self.words[n])
+        self.least_long = min((math.ceil(self.least_hold(n) * len(self.words[n])) for n in self.long), default=0)
+
+    def least_hold(self, n: int) -> float:
+        """The share of exemplar n that a run must hold."""
+        return 0.25 if self.label[n] == "filler" else INNER_OF_EXEMPLAR
+
+    def candidates(self, ws: set[str], weight: "Weights") -> list[int]:
+        """Exemplars that may hold LEAST_COVER (genuine: GENUINE_COVER) of the words' weight; none if no residue exemplar may."""
+        total = sum(weight(w) for w in ws)
+        if sum(weight(w) for w in ws if w in self.known) < LEAST_COVER * total - 1e-9:
+            return []
+        held: dict[int, float] = defaultdict(float)
+        for w in ws:
+            for n in self.at.get(w, ()):
+                held[n] += weight(w)
+        found = [n for n, h in held.items() if n and self.label[n] != "genuine" and h >= LEAST_COVER * total - 1e-9]
+        return found + self.genuine(ws, weight) if found else []
+
+    def run_candidates(self, ws: set[str], weight: "Weights") -> list[int]:
+        """The long exemplars among the candidates that the words hold as much of as a run must."""
+        if len(ws & self.known_long) < self.least_long:
+            return []
+        return [n for n in self.candidates(ws, weight) if n in self.long and len(ws & self.words[n]) >= self.least_hold(n) * len(self.words[n])]
+
+    def genuine(self, ws: set[str], weight: "Weights") -> list[int]:
+        """Genuine exemplars that may hold GENUINE_COVER of the words' weight."""
+        least = GENUINE_COVER * sum(weight(w) for w in ws) - 1e-9
+        hits = {n for w in ws for n in self.at.get(w, ()) if self.label[n] == "genuine"}
+        return [n for n in hits if sum(weight(w) for w in ws if w in self.words[n]) >= least]
+
+
+class Weights:
+    """TF-IDF weights of the most frequent terms and of all terms of exemplars; for other terms the least they can have."""
+
+    def __init__(self, counts: DataFrame, n_docs: int, index: Index):
+        frequent = counts.orderBy(F.desc("df"), "term").limit(KNOWN_TERMS).collect()
+        mine = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in index.at], "term string")), "term").collect()
+        self.known = {r.term: math.log(1 + n_docs / r.df) for r in frequent + mine}
+        self.rest = math.log(1 + n_docs / frequent[-1].df) if frequent else 0.0
+
+    def __call__(self, term: str) -> float:
+        return self.known.get(term, self.rest)
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -114,18 +195,18 @@ def term_counts(documents: DataFrame) -> DataFrame:
             c: Counter = Counter()
             for t in batch["text"]:
                 if t:
-                    c.update(set(words(_TAG.sub(" ", _mark_fields(t)))))
+                    c.update({w for _, ws in _parts(t) for w in ws})
             yield pd.DataFrame({"term": list(c), "df": list(c.values())}, columns=["term", "df"])
 
     return documents.select("text").mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 VERDICT = T.StructType([T.StructField("family", T.StringType()), T.StructField("cover", T.DoubleType())])
-CANDIDATE = "doc_id long, passage string, terms array<string>, exemplars array<int>, has_field boolean"
+CANDIDATE = "doc_id long, passage string, place int, terms array<string>, context array<string>, exemplars array<int>, has_field boolean"
 
 
-def candidate_windows(documents: DataFrame, index: Index) -> DataFrame:
-    """(doc_id, passage, terms, exemplars, has_field): windows with an open field or words in common with exemplars."""
+def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> DataFrame:
+    """Rows of CANDIDATE: windows with an open field, or that an exemplar may hold; place and context are null but for runs of words."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CANDIDATE.split(", ")]
@@ -134,53 +215,81 @@ def candidate_windows(documents: DataFrame, index: Index) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
                 for passage, ws, field in windows(text) if text else ():
                     terms = set(ws)
-                    found = index.candidates(terms)
+                    found = index.candidates(terms, weight) or (index.genuine(terms, weight) if field else [])
                     if found or field:
-                        rows.append((doc_id, passage[:2000], sorted(terms), sorted(found), field))
-            yield pd.DataFrame(rows, columns=columns)
+                        rows.append((doc_id, passage[:2000], None, sorted(terms), None, sorted(found), field))
+                for place, ws, around in runs(text, index.known_long, index.least_long) if text else ():
+                    terms = set(ws)
+                    found = index.run_candidates(terms, weight)
+                    if found:
+                        context = set(around)
+                        rows.append((doc_id, " ".join(ws), place, sorted(terms), sorted(context), sorted(found + index.genuine(context, weight)), False))
+            yield pd.DataFrame(rows, columns=columns).astype({"place": "Int32"})
 
     return documents.select("doc_id", "text").mapInPandas(scan, CANDIDATE)
 
 
 def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
-    """(doc_id, passage, family, cover): the windows that are residue, with the family and coverage of the best exemplar."""
+    """(doc_id, passage, family, cover): the windows that are residue, with the family and coverage of the best exemplar.
+
+    Of the overlapping runs of words in a document the best one of each family is given, in plain words, and only where no line or sentence of it is of that family.
+    """
     index = index or Index()
     documents = spread(documents.select("doc_id", "text"))
-    found = cut(candidate_windows(documents, index))  # few windows of the corpus; texts are scanned once for them
-    distinct = found.select("terms", "exemplars", "has_field").distinct()
+    counts = cut(term_counts(documents))
+    n_docs = documents.count()
+    found = cut(candidate_windows(documents, index, Weights(counts, n_docs, index)))  # few windows of the corpus
+    key = ["terms", "context", "exemplars", "has_field"]
+    distinct = found.select(*key).distinct().withColumn("all", F.array_union("terms", F.coalesce("context", F.array())))
     idf = (
-        term_counts(documents).join(distinct.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
-        .crossJoin(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n_docs"))))
-        .select("term", F.log(1 + F.col("n_docs") / F.col("df")).alias("idf"))
+        counts.join(distinct.select(F.explode("all").alias("term")).distinct(), "term", "left_semi")
+        .select("term", F.log(1 + F.lit(n_docs) / F.col("df")).alias("idf"))
     )
     weighed = (
-        distinct.withColumn("w", F.xxhash64("terms")).select("*", F.explode("terms").alias("term")).join(idf, "term")
-        .groupBy("terms", "exemplars", "has_field").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
+        distinct.select(*key, F.explode("all").alias("term")).join(idf, "term")
+        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     )
-    judged = weighed.select("terms", _judge(index)("idf", "exemplars", "has_field").alias("v")).where("v.family is not null")
-    return found.join(judged, "terms").select("doc_id", "passage", "v.family", "v.cover")
+    judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars", "has_field").alias("v")).where("v.family is not null")
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(f"f.{k}").eqNullSafe(F.col(f"j.{k}"))
+    hits = found.alias("f").join(judged.alias("j"), same).select("doc_id", "passage", "place", "v.family", "v.cover")
+    whole = hits.where("place is null").drop("place")
+    inner = hits.where("place is not null").groupBy("doc_id", "family").agg(F.max_by(F.struct("passage", "cover"), F.struct("cover", F.length("passage"), -F.col("place"))).alias("b"))
+    inner = inner.join(whole.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_anti")
+    return whole.unionByName(inner.select("doc_id", "b.passage", "family", "b.cover"))
 
 
 def _judge(index: Index):
+    distinctive = math.log(1 + 1 / DISTINCTIVE_DF)
+
     @F.pandas_udf(VERDICT)
-    def judge(idf: pd.Series, exemplars: pd.Series, has_field: pd.Series) -> pd.DataFrame:
+    def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series, has_field: pd.Series) -> pd.DataFrame:
         out = []
-        for weights, found, field in zip(idf, exemplars, has_field):
+        for weights, ws, around, found, field in zip(idf, terms, context, exemplars, has_field):
             weights = dict(weights)
-            total = sum(weights.values()) or math.inf
+            ws, run = set(ws), around is not None
+            around = set(around) if run else ws
+            total, total_around = (sum(weights[t] for t in x) or math.inf for x in (ws, around))
             residue, genuine, family = 0.0, 0.0, None
             for n in found:
-                inside = sum(w for t, w in weights.items() if t in index.words[n])
-                cover = inside / total
-                hold = sum(t in weights for t in index.words[n]) / len(index.words[n])
                 if index.label[n] == "genuine":
-                    genuine = max(genuine, cover if hold >= LEAST_OF_EXEMPLAR else 0.0)
+                    held = around & index.words[n]
+                    if len(held) >= LEAST_OF_EXEMPLAR * len(index.words[n]):
+                        genuine = max(genuine, sum(weights[t] for t in held) / total_around)
                     continue
-                if cover >= LEAST_COVER and (hold >= LEAST_OF_EXEMPLAR or index.label[n] == "filler" and hold >= 0.25) and cover > residue:
+                held = ws & index.words[n]
+                cover = sum(weights[t] for t in held) / total
+                hold = len(held) / len(index.words[n])
+                rare = not run and len(held) >= DISTINCTIVE_WORDS and min(weights[t] for t in held) >= distinctive
+                enough = hold >= index.least_hold(n) if run else rare or hold >= (0.25 if index.label[n] == "filler" else LEAST_OF_EXEMPLAR)
+                if cover >= LEAST_COVER and enough and cover > residue:
                     residue, family = cover, index.label[n]
+            if run and genuine >= GENUINE_COVER:
+                family = None
             if field and not (genuine >= GENUINE_COVER and len(weights) > 5):
                 residue, family = max(residue, 1.0), "field"
-            out.append((family, residue) if family and (family == "field" or residue > genuine) else (None, None))
+            out.append((family, residue) if family and (family == "field" or run or residue > genuine) else (None, None))
         return pd.DataFrame(out, columns=["family", "cover"])
 
     return judge

@@ -229,3 +229,24 @@ def test_document_frequencies_cover_all_documents(spark):
     df = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(500)], "doc_id long, text string").repartition(6)
     got = {r.term: r.df for r in residue.term_counts(df).collect()}
     assert got["common"] == 500 and got["word3"] == 71
+
+
+PLAIN = [f"The guard of unit {w} holds, so the sites of pass {w}b stay with the {w}c reviewer." for w in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def test_residue_is_weighed_not_counted(spark):
+    """Fragments that are short and rare, and notices within long or wrapped lines."""
+    inside = "step nine of the nightly run went on and then the requested page could not be located on this server and the run of pass b went on with the sites of unit c"
+    wrapped = "The requested page could not be\nlocated on this server while step nine\nof the nightly run went on"
+    lines = ["Lorem ipsum dolor.", inside, wrapped]
+    quoted = ['the help shows "the requested page could not be located on this server" and the run of pass b went on with unit c', "later?", "The page"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PLAIN * 4 + quoted)] + [(1000 + i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in residue.find_residue(df).select("doc_id").distinct().collect()}
+    assert got == {1000, 1001, 1002}
+
+
+def test_lookup_weighs_words(spark):
+    index = residue.Index({"error": ["alpha beta gamma delta epsilon zeta"]}, [])
+    common = "of the and to in is it"
+    df = spark.createDataFrame([(i, f"{common} {'alpha beta gamma delta epsilon zeta' if i == 0 else f'w{i}'}") for i in range(300)], "doc_id long, text string")
+    assert [r.doc_id for r in residue.find_residue(df, index).select("doc_id").distinct().collect()] == [0]
