@@ -6,8 +6,9 @@ exemplar of genuine text that speaks about such things holds more. Document freq
 are counted first, so the lookup weighs words and loses no pair: frequent words have their weight, rarer ones the least
 they can have. Runs of words must hold most of an exemplar of five or more words (filler: a quarter) and count only outside
 quotes and sentences that are genuine by exemplar, since running text mentions short notices more often than it is one.
-An open template field is a window of its own, which the SLOT exemplar holds wholly; it counts unless it is quoted or
-its sentence is genuine by exemplar.
+An open template field is a window of its own with the one term SLOT, which exemplar 0 holds wholly; it is looked up and
+judged as runs are, so it counts unless the words around it are genuine by exemplar. What looks like a field (FIELD) and
+what is none or quoted (NO_FIELD, the same quote on both sides) are pattern rules.
 
 Null and empty texts have no windows and are no residue. Texts of any length are scanned whole; repeated documents each
 get their rows. Empty tables give empty results; extra columns are ignored.
@@ -41,8 +42,9 @@ KNOWN_TERMS = 20_000  # most frequent terms whose weights go to the tasks; rarer
 
 # The ways of writing an open template field.
 _NAME = r" ?[A-Za-z][\w .-]{0,58} ?"
+_CODE = r" ?[A-Za-z_][^{}%:;\n]{0,78}"  # a name, filters, a condition
 FIELD = [
-    rf"\{{\{{{_NAME}\}}\}}", rf"\{{%{_NAME}%\}}", rf"<%=?{_NAME}%>", rf"\$\{{{_NAME}\}}", rf"#\{{{_NAME}\}}", rf"\[\[{_NAME}\]\]",
+    rf"\{{\{{\{{?[~-]? ?[#/^>&!.$@]{{0,2}}{_CODE}\}}?\}}\}}", rf"\{{%[-+]? ?{_CODE}%\}}", rf"<%[=-]?@?{_CODE}%>", rf"\$\{{{_NAME}\}}", rf"#\{{{_NAME}\}}", rf"\[\[{_NAME}\]\]",
     r"«[a-z][a-z0-9_]{1,40}»", rf"@@{_NAME}@@", rf"%%{_NAME}%%", r"(?<!\w)__[A-Za-z][A-Za-z_]{1,60}?__(?!\w)", rf"\b(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b",
     r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|enter) [^\]\n]{1,60}\]", r"<(?:your|YOUR|insert|INSERT|enter|ENTER) [\w ]{1,60}>",
     r"<[A-Z][A-Z_ ]{2,40}>", r"\[[A-Z][A-Z_ ]{2,40}\]", r"\([A-Za-z_ ]{2,40}: ?_{2,}\)", r"【[^】\n]{1,40}】", r"(?<=[:：] )_{4,}",
@@ -95,11 +97,21 @@ def _parts(text: str) -> list[tuple[str, list[str]]]:
     return [(p, w) for p, w in parts if w]
 
 
-def windows(text: str) -> list[tuple[str, list[str], bool]]:
-    """(passage, words, has an open field) of each line or sentence, and (without fields) of two in a row if the first is short."""
+def windows(text: str) -> list[tuple[str, list[str]]]:
+    """(passage, words) of each line or sentence, and of two in a row if the first is short."""
     single = _parts(text)
-    double = [(a + " " + b, v + w, False) for (a, v), (b, w) in zip(single, single[1:]) if len(v) <= 8]
-    return [(p, w, SLOT in w) for p, w in single] + double
+    return single + [(a + " " + b, v + w) for (a, v), (b, w) in zip(single, single[1:]) if len(v) <= 8]
+
+
+def fields(text: str) -> Iterator[tuple[str, list[str], list[str]]]:
+    """(sentence, the word SLOT, words around it) of each open field; fields of a sentence with the same words around count once."""
+    for p, ws in _parts(text):
+        seen = set()
+        for a in (a for a, w in enumerate(ws) if w == SLOT):
+            around = ws[max(0, a - AROUND) : a + 1 + AROUND]
+            if (key := frozenset(around)) not in seen:
+                seen.add(key)
+                yield p, [SLOT], around
 
 
 def runs(text: str, known: frozenset[str], least: int) -> Iterator[tuple[int, list[str], list[str]]]:
@@ -141,7 +153,7 @@ class Index:
             for w in ws:
                 self.at[w].append(n)
         self.long = frozenset(n for n, ws in enumerate(self.words) if n and self.label[n] != "genuine" and len(ws) >= INNER_WORDS)
-        self.known = frozenset(w for n, ws in enumerate(self.words) if n and self.label[n] != "genuine" for w in ws)
+        self.known = frozenset(w for n, ws in enumerate(self.words) if self.label[n] != "genuine" for w in ws)
         self.known_long = frozenset(w for n in self.long for w in self.words[n])
         self.least_long = min((math.ceil(self.least_hold(n) * len(self.words[n])) for n in self.long), default=0)
 
@@ -158,7 +170,7 @@ class Index:
         for w in ws:
             for n in self.at.get(w, ()):
                 held[n] += weight(w)
-        found = [n for n, h in held.items() if n and self.label[n] != "genuine" and h >= LEAST_COVER * total - 1e-9]
+        found = [n for n, h in held.items() if self.label[n] != "genuine" and h >= LEAST_COVER * total - 1e-9]
         return found + self.genuine(ws, weight) if found else []
 
     def run_candidates(self, ws: set[str], weight: "Weights") -> list[int]:
@@ -202,28 +214,32 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
 
 VERDICT = T.StructType([T.StructField("family", T.StringType()), T.StructField("cover", T.DoubleType())])
-CANDIDATE = "doc_id long, passage string, place int, terms array<string>, context array<string>, exemplars array<int>, has_field boolean"
+CANDIDATE = "doc_id long, passage string, place int, terms array<string>, context array<string>, exemplars array<int>"
 
 
 def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> DataFrame:
-    """Rows of CANDIDATE: windows with an open field, or that an exemplar may hold; place and context are null but for runs of words."""
+    """Rows of CANDIDATE: windows that an exemplar may hold; context is null but for runs of words and fields, place but for runs."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in CANDIDATE.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                for passage, ws, field in windows(text) if text else ():
+                for passage, ws in windows(text) if text else ():
                     terms = set(ws)
-                    found = index.candidates(terms, weight) or (index.genuine(terms, weight) if field else [])
-                    if found or field:
-                        rows.append((doc_id, passage[:2000], None, sorted(terms), None, sorted(found), field))
+                    found = index.candidates(terms, weight)
+                    if found:
+                        rows.append((doc_id, passage[:2000], None, sorted(terms), None, sorted(found)))
+                for passage, ws, around in fields(text) if text else ():
+                    context = set(around)
+                    found = {*index.candidates(set(ws), weight), *index.genuine(context, weight)}
+                    rows.append((doc_id, passage[:2000], None, ws, sorted(context), sorted(found)))
                 for place, ws, around in runs(text, index.known_long, index.least_long) if text else ():
                     terms = set(ws)
                     found = index.run_candidates(terms, weight)
                     if found:
                         context = set(around)
-                        rows.append((doc_id, " ".join(ws), place, sorted(terms), sorted(context), sorted(found + index.genuine(context, weight)), False))
+                        rows.append((doc_id, " ".join(ws), place, sorted(terms), sorted(context), sorted({*found, *index.genuine(context, weight)})))
             yield pd.DataFrame(rows, columns=columns).astype({"place": "Int32"})
 
     return documents.select("doc_id", "text").mapInPandas(scan, CANDIDATE)
@@ -239,7 +255,7 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
     counts = cut(term_counts(documents))
     n_docs = documents.count()
     found = cut(candidate_windows(documents, index, Weights(counts, n_docs, index)))  # few windows of the corpus
-    key = ["terms", "context", "exemplars", "has_field"]
+    key = ["terms", "context", "exemplars"]
     distinct = found.select(*key).distinct().withColumn("all", F.array_union("terms", F.coalesce("context", F.array())))
     idf = (
         counts.join(distinct.select(F.explode("all").alias("term")).distinct(), "term", "left_semi")
@@ -249,11 +265,11 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
         distinct.select(*key, F.explode("all").alias("term")).join(idf, "term")
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     )
-    judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars", "has_field").alias("v")).where("v.family is not null")
+    judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars").alias("v")).where("v.family is not null")
     same = F.lit(True)
     for k in key:
         same &= F.col(f"f.{k}").eqNullSafe(F.col(f"j.{k}"))
-    hits = found.alias("f").join(judged.alias("j"), same).select("doc_id", "passage", "place", "v.family", "v.cover")
+    hits = cut(found.alias("f").join(judged.alias("j"), same).select("doc_id", "passage", "place", "v.family", "v.cover"))
     whole = hits.where("place is null").drop("place")
     inner = hits.where("place is not null").groupBy("doc_id", "family").agg(F.max_by(F.struct("passage", "cover"), F.struct("cover", F.length("passage"), -F.col("place"))).alias("b"))
     inner = inner.join(whole.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_anti")
@@ -264,11 +280,11 @@ def _judge(index: Index):
     distinctive = math.log(1 + 1 / DISTINCTIVE_DF)
 
     @F.pandas_udf(VERDICT)
-    def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series, has_field: pd.Series) -> pd.DataFrame:
+    def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series) -> pd.DataFrame:
         out = []
-        for weights, ws, around, found, field in zip(idf, terms, context, exemplars, has_field):
+        for weights, ws, around, found in zip(idf, terms, context, exemplars):
             weights = dict(weights)
-            ws, run = set(ws), around is not None
+            ws, run = set(ws), around is not None  # a run of words or a field
             around = set(around) if run else ws
             total, total_around = (sum(weights[t] for t in x) or math.inf for x in (ws, around))
             residue, genuine, family = 0.0, 0.0, None
@@ -287,9 +303,7 @@ def _judge(index: Index):
                     residue, family = cover, index.label[n]
             if run and genuine >= GENUINE_COVER:
                 family = None
-            if field and not (genuine >= GENUINE_COVER and len(weights) > 5):
-                residue, family = max(residue, 1.0), "field"
-            out.append((family, residue) if family and (family == "field" or run or residue > genuine) else (None, None))
+            out.append((family, residue) if family and (run or residue > genuine) else (None, None))
         return pd.DataFrame(out, columns=["family", "cover"])
 
     return judge

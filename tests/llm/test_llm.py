@@ -250,3 +250,15 @@ def test_lookup_weighs_words(spark):
     common = "of the and to in is it"
     df = spark.createDataFrame([(i, f"{common} {'alpha beta gamma delta epsilon zeta' if i == 0 else f'w{i}'}") for i in range(300)], "doc_id long, text string")
     assert [r.doc_id for r in residue.find_residue(df, index).select("doc_id").distinct().collect()] == [0]
+
+
+def test_fields_are_looked_up(spark):
+    forms = ["{{ owner | upper }}", "{{#if x}}", "{{ .Values.x }}", "{% if a == b %}", "<% if (ready) %>", "{{owner}}"]
+    rows = [(i, t) for i, t in enumerate(PLAIN)] + [(1000 + i, f"The owner of unit {t} is asked.") for i, t in enumerate(forms)]
+    rows += [(2000, "Our report template prints {{ unit | upper }} and {{n}} per row, and the writer fills both from the header."), (2001, "style={{ color: red }}"), (2002, "The log has `{{ owner | upper }}` in it.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.family, r.cover) for r in residue.find_residue(df).collect()}
+    assert got == {(1000 + i, "field", 1.0) for i in range(len(forms))}
+    index = residue.Index()
+    index.at[residue.SLOT].remove(0)  # a field that the index doesn't hold is no residue
+    assert residue.find_residue(df, index).count() == 0
