@@ -59,32 +59,43 @@ def cohen(items: DataFrame, by: list[str]) -> DataFrame:
     return j.select(*by, "n", F.round(F.when(pe < 1, (F.col("po") - pe) / (1 - pe)), 6).alias("cohen"))
 
 
-def confusion(items: DataFrame, top: int) -> DataFrame:
-    """(a, b, n): the most frequent unequal pairs of the first two marks, ties by marks."""
-    return (
-        items.select(F.col("marks")[0].alias("a"), F.col("marks")[1].alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "a", "b").limit(top)
-    )
+def confusion(items: DataFrame, top: int | None, by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, n): the most frequent unequal pairs of the first two marks (all without top), ties by marks."""
+    by = by or []
+    n = items.select(*by, F.col("marks")[0].alias("a"), F.col("marks")[1].alias("b")).where("a <> b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return n if top is None else n.orderBy(F.desc("n"), *by, "a", "b").limit(top)
 
 
-def cluster_bootstrap(items: DataFrame, cluster: str, replicates: int, seed: str) -> DataFrame:
-    """(replicate, po, fleiss): agreement of two raters with whole clusters drawn with replacement.
+def cluster_bootstrap(items: DataFrame, cluster: str, replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
+    """(by, replicate, po, fleiss): agreement of two raters with whole clusters drawn with replacement.
 
     Items are first reduced to one row per cluster and category. Cluster u of replicate b gets weight
     Poisson(1) by a seeded hash, the usual bootstrap where clusters are many and lie on many tasks: each
     cluster decides alone, no draw looks at all clusters.
     """
+    by = by or []
     a, b = F.col("marks")[0], F.col("marks")[1]
-    per = items.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum((a == b).cast("int")).alias("same"))
-    cats = items.select(cluster, F.explode("marks").alias("cat")).groupBy(cluster, "cat").agg(F.count(F.lit(1)).alias("c"))
-    stat = per.join(cats.groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct("cat", "c"))).alias("cats")), cluster)
+    per = items.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.sum((a == b).cast("int")).alias("same"))
+    cats = items.select(*by, cluster, F.explode("marks").alias("cat")).groupBy(*by, cluster, "cat").agg(F.count(F.lit(1)).alias("c"))
+    stat = per.join(cats.groupBy(*by, cluster).agg(F.map_from_entries(F.collect_list(F.struct("cat", "c"))).alias("cats")), [*by, cluster])
     u = F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(seed), "replicate", F.col(cluster))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rep = stat.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     # The distribution function of Poisson(1).
     weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
     rep = rep.withColumn("w", weight).where("w > 0")
-    total = rep.groupBy("replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("same")).alias("same"))
-    per_cat = rep.select("replicate", "w", F.explode("cats").alias("cat", "c")).groupBy("replicate", "cat").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-    ss = per_cat.groupBy("replicate").agg(F.sum(F.col("c") * F.col("c")).alias("ss"))
+    total = rep.groupBy(*by, "replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("same")).alias("same"))
+    per_cat = rep.select(*by, "replicate", "w", F.explode("cats").alias("cat", "c")).groupBy(*by, "replicate", "cat").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+    ss = per_cat.groupBy(*by, "replicate").agg(F.sum(F.col("c") * F.col("c")).alias("ss"))
     po, pe = F.col("same") / F.col("n"), F.col("ss") / (4 * F.col("n") * F.col("n"))
-    return total.join(ss, "replicate").select("replicate", F.round(po, 6).alias("po"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("fleiss"))
+    return total.join(ss, [*by, "replicate"]).select(*by, "replicate", F.round(po, 6).alias("po"), F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("fleiss"))
+
+
+def rater_pairs(df: DataFrame, item: list[str], rater: str, mark: Column, cluster: Column | None = None) -> DataFrame:
+    """(rater_a, rater_b, item, marks, cluster): every two raters of every item, in order of name; an item gives at most raters squared.
+
+    One mark per item and rater is expected (the least counts); a null mark is none. The cluster is that of rater_a's row.
+    """
+    one = df.where(F.col(rater).isNotNull() & mark.isNotNull()).groupBy(*item, rater).agg(F.min(F.struct(mark.alias("m"), (F.lit(None).cast("string") if cluster is None else cluster).alias("c"))).alias("_x"))
+    all_of = one.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct(F.col(rater).alias("r"), F.col("_x.m").alias("m"), F.col("_x.c").alias("c")))).alias("_l")).where(F.size("_l") > 1)
+    pairs = F.flatten(F.transform("_l", lambda x, i: F.transform(F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(x["r"].alias("rater_a"), y["r"].alias("rater_b"), F.array(x["m"], y["m"]).alias("marks"), x["c"].alias("cluster")))))
+    return all_of.select(*item, F.explode(pairs).alias("_p")).select("_p.rater_a", "_p.rater_b", *item, "_p.marks", "_p.cluster")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -320,6 +320,74 @@ def q26_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return agreement.cluster_bootstrap(agreement.pair_items(a, ["sid"], "pass_name", F.col("api"), list(PAIR)).join(unit, "sid"), "u", REPLICATES, "boot-1")
 
 
+# The same statistics for every pair of passes; q18 to q26 keep their two raters and their SQL.
+
+BY = ["rater_a", "rater_b"]
+_ALL_SQL = _LAST + f""", m AS (SELECT pass_name AS p, sid, coalesce({_API}, 'NONE') AS m, coalesce({_TREE}, 'none') AS tree, coalesce(unit_location, 'none') AS u, is_api_use_reason AS why FROM a WHERE pass_name IS NOT NULL),
+i AS (SELECT l.p AS rater_a, r.p AS rater_b, sid, l.m AS a, r.m AS b, l.tree, l.u, r.why FROM m l JOIN m r USING (sid) WHERE l.p < r.p)"""
+
+
+def _all_pairs(spark: SparkSession, d: str, cluster: Column | None = None) -> DataFrame:
+    return agreement.rater_pairs(_latest(spark, d), ["sid"], "pass_name", F.col("api"), cluster)
+
+
+@query(_ALL_SQL + _COEF.format(g="rater_a, rater_b,", by="GROUP BY rater_a, rater_b", j="JOIN", u="USING (rater_a, rater_b)"))
+def q18_kappa_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.coefficients(_all_pairs(spark, d), BY)
+
+
+@query(_ALL_SQL + """, p AS (SELECT rater_a, rater_b, count(*) AS n, avg((a = b)::INT) AS po FROM i GROUP BY ALL),
+c AS (SELECT rater_a, rater_b, x, sum(ca) AS ca, sum(cb) AS cb FROM (SELECT rater_a, rater_b, a AS x, 1 AS ca, 0 AS cb FROM i UNION ALL SELECT rater_a, rater_b, b, 0, 1 FROM i) GROUP BY ALL), s AS (SELECT rater_a, rater_b, sum(ca * cb) AS s FROM c GROUP BY ALL)
+SELECT rater_a, rater_b, n, round(CASE WHEN s < n * n THEN (po - s / (n * n)) / (1 - s / (n * n)) END, 6) AS cohen FROM p JOIN s USING (rater_a, rater_b)""")
+def q20_cohen_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.cohen(_all_pairs(spark, d), BY)
+
+
+@query(_ALL_SQL + " SELECT rater_a, rater_b, a, b, count(*) AS n FROM i WHERE a <> b GROUP BY ALL")
+def q22_confusion_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.confusion(_all_pairs(spark, d), None, BY)
+
+
+@query(_ALL_SQL + _COEF.format(g="rater_a, rater_b, tree,", by="GROUP BY rater_a, rater_b, tree", j="JOIN", u="USING (rater_a, rater_b, tree)"))
+def q23_strata_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.coefficients(_all_pairs(spark, d, F.coalesce(F.substring_index("unit_location", "/", 1), F.lit("none"))).withColumnRenamed("cluster", "tree"), [*BY, "tree"])
+
+
+@query(_LAST + f""", m AS (SELECT pass_name AS p, sid, constraint_verdicts AS cv FROM a WHERE pass_name IS NOT NULL), v AS (SELECT p, sid, e.key AS cid, {_CON} AS m FROM (SELECT p, sid, unnest(map_entries(cv)) AS e FROM m)),
+i AS (SELECT l.p AS rater_a, r.p AS rater_b, sid FROM m l JOIN m r USING (sid) WHERE l.p < r.p), k AS (SELECT DISTINCT rater_a, rater_b, i.sid, cid FROM i JOIN v ON v.sid = i.sid AND v.p IN (rater_a, rater_b))
+SELECT rater_a, rater_b, coalesce(x.m, 'ABSENT') AS a, coalesce(y.m, 'ABSENT') AS b, count(*) AS n FROM k LEFT JOIN v x ON x.sid = k.sid AND x.cid = k.cid AND x.p = rater_a LEFT JOIN v y ON y.sid = k.sid AND y.cid = k.cid AND y.p = rater_b GROUP BY ALL""")
+def q24_absent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    mark = lambda v: F.when(F.size(F.coalesce(F.map_keys(v["by_domain"]), F.array())) > 0, "MIXED").otherwise(F.coalesce(v["scalar"], F.lit("NONE")))
+    verdicts = F.map_from_entries(F.transform(F.map_entries(F.coalesce("constraint_verdicts", F.create_map().cast("map<string,struct<scalar:string,by_domain:map<string,string>>>"))), lambda e: F.struct(e["key"].alias("k"), mark(e["value"]).alias("m"))))
+    rows = _latest(spark, d).where("pass_name is not null").select("sid", F.struct(F.col("pass_name").alias("p"), verdicts.alias("v")).alias("x"))
+    lists = rows.groupBy("sid").agg(F.collect_list("x").alias("l")).where(F.size("l") > 1)
+    two = lists.select("l", F.explode("l").alias("x")).select("x", F.explode("l").alias("y")).where("x.p < y.p")
+    c = two.select(F.col("x.p").alias("rater_a"), F.col("y.p").alias("rater_b"), "x", "y", F.explode(F.array_union(F.map_keys("x.v"), F.map_keys("y.v"))).alias("cid"))
+    at = lambda s: F.coalesce(F.try_element_at(F.col(f"{s}.v"), F.col("cid")), F.lit("ABSENT"))
+    return c.groupBy(*BY, at("x").alias("a"), at("y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_LAST + f""", m AS (SELECT pass_name AS p, sid, {_API} AS m, is_api_use_reason AS why FROM a)
+SELECT l.p AS rater_yes, r.p AS rater_no, coalesce(nullif(regexp_extract(r.why, '^\\s*([A-Z_]{{4,}})', 1), ''), 'NO_CODE') AS code, count(*) AS n FROM m l JOIN m r USING (sid) WHERE l.m = 'YES' AND r.m = 'NO' AND l.p IS NOT NULL AND r.p IS NOT NULL GROUP BY ALL""")
+def q25_flips_pairs(spark: SparkSession, d: str) -> DataFrame:
+    code = F.regexp_extract("is_api_use_reason", r"^\s*([A-Z_]{4,})", 1)
+    a = _latest(spark, d).where("pass_name is not null and api in ('YES', 'NO')")
+    m = a.groupBy("sid").agg(F.collect_list(F.when(F.col("api") == "YES", F.col("pass_name"))).alias("yes"), F.collect_list(F.when(F.col("api") == "NO", F.struct(F.col("pass_name").alias("p"), F.when(code != "", code).otherwise("NO_CODE").alias("code")))).alias("no"))
+    x = m.select(F.explode("yes").alias("rater_yes"), "no").select("rater_yes", F.explode("no").alias("x"))
+    return x.groupBy("rater_yes", F.col("x.p").alias("rater_no"), F.col("x.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_ALL_SQL + f""", st AS (SELECT rater_a, rater_b, u, count(*) AS n, sum((a = b)::INT) AS same FROM i GROUP BY ALL), ct AS (SELECT rater_a, rater_b, u, c, count(*) AS n FROM (SELECT rater_a, rater_b, u, a AS c FROM i UNION ALL SELECT rater_a, rater_b, u, b FROM i) GROUP BY ALL),
+h AS (SELECT u, rep, ('0x' || substr(sha1('boot-1|' || rep || '|' || u), 1, 8))::BIGINT / 4294967296.0 AS h FROM (SELECT DISTINCT u FROM st), (SELECT unnest(range({REPLICATES})) AS rep)),
+w AS (SELECT u, rep, CASE WHEN h < 0.367879 THEN 0 WHEN h < 0.735759 THEN 1 WHEN h < 0.919699 THEN 2 WHEN h < 0.981012 THEN 3 WHEN h < 0.99634 THEN 4 ELSE 5 END AS w FROM h),
+t AS (SELECT rater_a, rater_b, rep, sum(w * n) AS n, sum(w * same) AS same FROM st JOIN w USING (u) WHERE w > 0 GROUP BY ALL),
+k AS (SELECT rater_a, rater_b, rep, sum(c * c) AS ss FROM (SELECT rater_a, rater_b, rep, ct.c AS cat, sum(w.w * ct.n) AS c FROM w JOIN ct USING (u) WHERE w.w > 0 GROUP BY ALL) GROUP BY ALL)
+SELECT rater_a, rater_b, rep::INT AS replicate, round(same / n, 6) AS po, round(CASE WHEN ss < 4 * n * n THEN (same / n - ss / (4.0 * n * n)) / (1 - ss / (4.0 * n * n)) END, 6) AS fleiss FROM t JOIN k USING (rater_a, rater_b, rep)""")
+def q26_bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _all_pairs(spark, d, F.coalesce("unit_location", F.lit("none"))).withColumnRenamed("cluster", "u")
+    return agreement.cluster_bootstrap(pairs, "u", REPLICATES, "boot-1", BY)
+
+
 # --- sampling ---------------------------------------------------------------------------------------------------
 
 _SEATS = """WITH c AS (SELECT coalesce(lang, 'none') AS lang, count(*) AS n FROM documents GROUP BY 1), e AS (SELECT *, 200 * n / sum(n) OVER () AS x FROM c),

@@ -166,3 +166,10 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert not (tmp_path / "x").exists()
     validate.publish(df, bad.withColumn("passed", F.lit(True)), str(tmp_path / "x"))
     assert spark.read.parquet(str(tmp_path / "x")).count() == 3
+
+
+def test_agreement_takes_every_pair_of_raters(spark):
+    rows = [("i1", "r1", "Y"), ("i1", "r2", "Y"), ("i1", "r9", "N"), ("i2", "r2", "N"), ("i2", "r9", "N"), ("i3", "r9", "Y")]
+    pairs = agreement.rater_pairs(spark.createDataFrame(rows, "item string, rater string, mark string"), ["item"], "rater", F.col("mark"))
+    assert {(r.rater_a, r.rater_b, r.item, *r.marks) for r in pairs.collect()} == {("r1", "r2", "i1", "Y", "Y"), ("r1", "r9", "i1", "Y", "N"), ("r2", "r9", "i1", "Y", "N"), ("r2", "r9", "i2", "N", "N")}
+    assert {(r.rater_a, r.rater_b, r.n) for r in agreement.cohen(pairs, ["rater_a", "rater_b"]).collect()} == {("r1", "r2", 1), ("r1", "r9", 1), ("r2", "r9", 2)}
