@@ -33,16 +33,16 @@ DEPTH = 16  # tokens by which suffixes are sorted; longer matches are followed i
 MAX_ITEMS = 20_000
 SHARD_TOKENS = 2_000_000
 SCHEMA = "doc_id long, item_id long, verbatim int, span int, edits int, place long"
-SENTENCE_END = r"^(.*?[.?!。？！]+)(?:\s|$)"
+SENTENCE_END = r"^(.*?(?:[。？！]+|[.?!]+(?=\s|$)))"
 
 
 def without_shared_openings(items: DataFrame) -> DataFrame:
-    """(item_id, unit, text): items in plain form, less an opening sentence that two or more items have."""
+    """(item_id, unit, text): items in plain form, less an opening sentence that two or more items have; one that is all of an item stays."""
     opening = plain(F.regexp_extract("text", SENTENCE_END, 1))
     t = items.select("item_id", F.when(F.lower("lang").startswith("zh"), CHARS).otherwise(WORDS).alias("unit"), plain(F.col("text")).alias("text"), opening.alias("opening"))
-    shared = t.where("opening <> ''").groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("opening", F.lit(True).alias("shared"))
+    shared = t.where("opening <> ''").groupBy("opening").agg(F.count_distinct("item_id").alias("n")).where("n > 1").select("opening", F.lit(True).alias("shared"))
     rest = F.expr("trim(substring(text, length(opening) + 1))")
-    return t.join(shared, "opening", "left").select("item_id", "unit", F.when(F.col("shared"), rest).otherwise(F.col("text")).alias("text")).where("text <> ''")
+    return t.join(shared, "opening", "left").select("item_id", "unit", F.when(F.col("shared") & (rest != ""), rest).otherwise(F.col("text")).alias("text")).where("text <> ''")
 
 
 def _tokens(text: str, unit: str) -> list[str]:

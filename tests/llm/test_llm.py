@@ -262,3 +262,11 @@ def test_fields_are_looked_up(spark):
     index = residue.Index()
     index.at[residue.SLOT].remove(0)  # a field that the index doesn't hold is no residue
     assert residue.find_residue(df, index).count() == 0
+
+
+def test_openings_are_shared_by_items_not_rows(spark):
+    zh = ["".join(chr(a + 7 * i) for i in range(50)) for a in (0x4E00, 0x5E00, 0x6E00)]
+    one = " ".join(f"c{i}" for i in range(30)) + "."
+    items = [(1, "en", one), (1, "en", one), (2, "zh", f"{zh[0]}。{zh[1]}。"), (3, "zh", f"{zh[0]}。{zh[2]}。"), (4, "zh", f"{zh[0]}。")]
+    got = {(r.item_id, r.text.replace(" ", "")) for r in leakage.without_shared_openings(spark.createDataFrame(items, "item_id long, lang string, text string")).collect()}
+    assert got == {(1, one.replace(" ", "").rstrip(".")), (2, zh[1]), (3, zh[2]), (4, zh[0])}
