@@ -177,6 +177,7 @@ def test_leaks_equal_brute_force(spark):
     dd = spark.createDataFrame([(d, " ".join(t), "clash") for d, t in enumerate(docs)], "doc_id long, text string, item_id string")
     got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(dd, ev).collect()}
     assert got <= want and len(want - got) <= 1 and len(want) > 15
+    assert got == want
 
 
 def test_leak_edge_cases(spark):
