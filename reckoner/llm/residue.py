@@ -229,11 +229,11 @@ def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> Da
                     terms = set(ws)
                     found = index.candidates(terms, weight)
                     if found:
-                        rows.append((doc_id, passage[:2000], None, sorted(terms), None, sorted(found)))
+                        rows.append((doc_id, passage, None, sorted(terms), None, sorted(found)))
                 for passage, ws, around in fields(text) if text else ():
                     context = set(around)
                     found = {*index.candidates(set(ws), weight), *index.genuine(context, weight)}
-                    rows.append((doc_id, passage[:2000], None, ws, sorted(context), sorted(found)))
+                    rows.append((doc_id, passage, None, ws, sorted(context), sorted(found)))
                 for place, ws, around in runs(text, index.known_long, index.least_long) if text else ():
                     terms = set(ws)
                     found = index.run_candidates(terms, weight)

@@ -271,3 +271,9 @@ def test_openings_are_shared_by_items_not_rows(spark):
     items = [(1, "en", one), (1, "en", one), (2, "zh", f"{zh[0]}。{zh[1]}。"), (3, "zh", f"{zh[0]}。{zh[2]}。"), (4, "zh", f"{zh[0]}。")]
     got = {(r.item_id, r.text.replace(" ", "")) for r in leakage.without_shared_openings(spark.createDataFrame(items, "item_id long, lang string, text string")).collect()}
     assert got == {(1, one.replace(" ", "").rstrip(".")), (2, zh[1]), (3, zh[2]), (4, zh[0])}
+
+
+def test_passages_are_reported_whole(spark):
+    text = "<code> </code>" + " " * 3000 + "404 Not Found"
+    got = residue.find_residue(spark.createDataFrame([(i, t) for i, t in enumerate(PLAIN + [text])], "doc_id long, text string")).collect()
+    assert got and all(r.passage.endswith("404 Not Found") for r in got)
