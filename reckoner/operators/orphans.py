@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 
 
 def find_orphans(
-    refs: DataFrame, targets: DataFrame, masks: list[list[str]], columns: list[str], at: str, since: str, until: str, match: str = "partial"
+    refs: DataFrame, targets: DataFrame, masks: list[list[str]] | None, columns: list[str], at: str, since: str, until: str, match: str = "partial"
 ) -> DataFrame:
     """refs with the column `reason` added, those alone that no target satisfies.
 
     refs holds the key columns and `at`; targets holds them with `since` and `until` (null: still there).
     masks lists the sets of non-null columns that references may have; under MATCH SIMPLE and FULL only the masks
-    that hold all of their own declared columns are given.
+    that hold all of their own declared columns are given. None: all sets that refs has, by a small aggregate.
     """
     if match not in ("partial", "simple", "full"):
         raise ValueError("match is partial, simple or full")
+    if masks is None:
+        seen = refs.select(*[F.col(c).isNotNull().alias(c) for c in columns]).distinct().collect()
+        masks = sorted(m for m in ([c for c in columns if r[c]] for r in seen) if m)
     parts = []
     for mask in masks:
         present = F.lit(True)
@@ -54,6 +57,8 @@ def find_orphans(
         for c in columns:
             some |= F.col(c).isNotNull()
         parts.append(refs.where(some & ~covered).withColumn("reason", F.lit("MISSING")))
+    if not parts:
+        return refs.limit(0).withColumn("reason", F.lit("MISSING"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -72,7 +77,7 @@ def site_references(annotation: DataFrame) -> DataFrame:
 
     site_id gives a full id; notes give full ids, ids of twelve digits with an ellipsis, and file:line within the
     record's own unit. Addresses (0x...), revisions (@...), longer or shorter hashes and uuids fail the bounds of
-    the patterns; the place of a definition is cut out before places are read; quoted lines name `file Lnn`.
+    the patterns; a line beyond all numbers is -1, which no site has; the place of a definition is cut out before places are read; quoted lines name `file Lnn`.
     """
     lower = lambda c: F.lower(c)
     notes = F.regexp_replace("notes", DEFINITION, " ")
@@ -95,7 +100,7 @@ def site_references(annotation: DataFrame) -> DataFrame:
         F.when(kind == "full", ref).alias("site_id"), F.when(kind == "short", ref).alias("prefix"),
         F.when(kind == "place", F.col("unit_location")).alias("unit_location"),
         F.when(kind == "place", F.regexp_extract(ref, r"^(.*):\d+$", 1)).alias("file"),
-        F.when(kind == "place", F.expr("try_cast(regexp_extract(r.ref, ':([0-9]+)$', 1) as int)")).alias("line"),
+        F.when(kind == "place", F.expr("coalesce(try_cast(regexp_extract(r.ref, ':([0-9]+)$', 1) as bigint), -1)")).alias("line"),
     )
 
 
@@ -104,8 +109,7 @@ def site_orphans(annotation: DataFrame, site: DataFrame) -> DataFrame:
     targets = site.select(F.lower(F.trim("site_id")).alias("site_id"), "unit_location", "file", "line", "scanned_at", "dropped_at").withColumn(
         "prefix", F.substring("site_id", 1, 12)
     )
-    masks = [["site_id"], ["prefix"], ["unit_location", "file", "line"], ["file", "line"]]
-    found = find_orphans(site_references(annotation), targets, masks, ["site_id", "prefix", "unit_location", "file", "line"], "annotated_at", "scanned_at", "dropped_at")
+    found = find_orphans(site_references(annotation), targets, None, ["site_id", "prefix", "unit_location", "file", "line"], "annotated_at", "scanned_at", "dropped_at")
     return found.groupBy("ann_id", "field", "site_ref").agg(
         F.min_by("reason", F.struct("annotated_at", "reason")).alias("reason"), F.min(F.date_format("annotated_at", "yyyy-MM")).alias("month")
     )

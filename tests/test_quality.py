@@ -122,3 +122,14 @@ def test_match_full_counts_partial_keys(spark):
     got = orphans.find_orphans(refs, tgt, [["x", "y"]], ["x", "y"], "at", "s", "u", match="full")
     assert [(r.id, r.reason) for r in got.collect()] == [(1, "MISSING")]
     assert orphans.find_orphans(refs, tgt, [["x", "y"], ["x"]], ["x", "y"], "at", "s", "u").count() == 0
+
+
+def test_references_with_any_null_mask_are_checked(spark):
+    t = dt.datetime(2025, 1, 1)
+    ann = spark.createDataFrame([(1, t, "u", None, "see a.swift:99999999999"), (2, t, "u", None, "see a.swift:" + "9" * 30), (3, t, None, None, "see a.swift:88888888888"), (4, t, "u", None, "see a.swift:7")], "ann_id long, annotated_at timestamp, unit_location string, site_id string, notes string")
+    site = spark.createDataFrame([("00000000000000aa", "u", "a.swift", 7, t, None)], "site_id string, unit_location string, file string, line int, scanned_at timestamp, dropped_at timestamp")
+    assert {(r.ann_id, r.reason) for r in orphans.site_orphans(ann, site).collect()} == {(1, "MISSING"), (2, "MISSING"), (3, "MISSING")}
+    refs = spark.createDataFrame([("a", None, t), (None, "b", t), (None, None, t), ("x", "y", t)], "p string, q string, at timestamp")
+    targets = spark.createDataFrame([("a", "c", t, None)], "p string, q string, since timestamp, until timestamp")
+    assert {(r.p, r.q) for r in orphans.find_orphans(refs, targets, None, ["p", "q"], "at", "since", "until").collect()} == {(None, "b"), ("x", "y")}
+    assert orphans.site_orphans(ann.limit(0), site).count() == 0
