@@ -1,14 +1,16 @@
 """Template residue, filler, error pages and scripts-required notices in place of content.
 
-Labelled exemplars are looked up through an inverted index; a passage window (a line or sentence, two that follow each
-other, or a run of words of about exemplar length) is residue if one exemplar holds most of its TF-IDF weight, unless an
-exemplar of genuine text that speaks about such things holds more. Document frequencies come from all documents. They
-are counted first, so the lookup weighs words and loses no pair: frequent words have their weight, rarer ones the least
-they can have. Runs of words must hold most of an exemplar of five or more words (filler: a quarter) and count only outside
-quotes and sentences that are genuine by exemplar, since running text mentions short notices more often than it is one.
-An open template field is a window of its own with the one term SLOT, which exemplar 0 holds wholly; it is looked up and
-judged as runs are, so it counts unless the words around it are genuine by exemplar. What looks like a field (FIELD) and
-what is none or quoted (NO_FIELD, the same quote on both sides) are pattern rules.
+Labelled exemplars are looked up through an inverted index. A passage window is a line or sentence, two that follow each other, an open
+template field, or a run of words inside longer text. It is residue if the exemplars that it retrieves hold most of its TF-IDF weight
+(containment): one exemplar alone, or the best TOGETHER ones, since notices are put together from the same parts in ever new ways.
+An exemplar of genuine text that speaks about such things and holds more clears it. Document frequencies come from all documents. They are
+counted first, so the lookup weighs words and loses no window: frequent words and those of exemplars have their weight, rarer ones the
+least they can have. What is left is weighed exactly.
+
+Words are compared as stems with a few synonyms. An open field, such as {{name}}, is one term for each kind of delimiter, so fields go
+through index and containment like all words; which brackets are delimiters is what the tokenizer knows (FIELD, NO_FIELD).
+Runs of words must hold most of one exemplar of five or more words (filler: a quarter) and count only outside quotes and outside of
+sentences that are genuine by exemplar, since running text mentions short notices more often than it is one.
 
 Null and empty texts have no windows and are no residue. Texts of any length are scanned whole; repeated documents each
 get their rows. Empty tables give empty results; extra columns are ignored.
@@ -18,172 +20,174 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, spread
-from .exemplars import GENUINE, RESIDUE
+from .exemplars import FIELDS, GENUINE, PUBLIC, SEEN
 
-SLOT = "⟦slot⟧"
-LEAST_COVER = 0.72  # share of a window's TF-IDF weight that an exemplar must hold
-LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's words (filler: 0.25) that the window must hold, unless it is distinctive
+LEAST_COVER = 0.72  # share of a window's TF-IDF weight that one exemplar must hold
+TOGETHER, TOGETHER_COVER, TOGETHER_BEST = 4, 0.7, 0.35  # exemplars that count together, what they must hold, and what the best must
+TOGETHER_WORDS, TOGETHER_RARE = 4, 2  # distinct words that they must hold, and how many of them must be distinctive
+LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's words (filler: 0.25) that a window must hold, unless it is distinctive
 DISTINCTIVE_WORDS, DISTINCTIVE_DF = 3, 0.05  # a fragment of so many held words, each in at most this share of the documents
 INNER = (6, 8, 11, 15, 20)  # words of the overlapping windows inside longer text, each at most 1 / LEAST_COVER of the one before
 INNER_OF_EXEMPLAR, INNER_WORDS = 0.8, 5  # share of the exemplar that they must hold, and the least words of such an exemplar
 GENUINE_COVER = 0.5
 AROUND = 20  # words before and after a run that are weighed as its sentence
 KNOWN_TERMS = 20_000  # most frequent terms whose weights go to the tasks; rarer ones have a bound
-
-# The ways of writing an open template field.
-_NAME = r" ?[A-Za-z][\w .-]{0,58} ?"
-_CODE = r" ?[A-Za-z_][^{}%:;\n]{0,78}"  # a name, filters, a condition
-FIELD = [
-    rf"\{{\{{\{{?[~-]? ?[#/^>&!.$@]{{0,2}}{_CODE}\}}?\}}\}}", rf"\{{%[-+]? ?{_CODE}%\}}", rf"<%[=-]?@?{_CODE}%>", rf"\$\{{{_NAME}\}}", rf"#\{{{_NAME}\}}", rf"\[\[{_NAME}\]\]",
-    r"«[a-z][a-z0-9_]{1,40}»", rf"@@{_NAME}@@", rf"%%{_NAME}%%", r"(?<!\w)__[A-Za-z][A-Za-z_]{1,60}?__(?!\w)", rf"\b(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b",
-    r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|enter) [^\]\n]{1,60}\]", r"<(?:your|YOUR|insert|INSERT|enter|ENTER) [\w ]{1,60}>",
-    r"<[A-Z][A-Z_ ]{2,40}>", r"\[[A-Z][A-Z_ ]{2,40}\]", r"\([A-Za-z_ ]{2,40}: ?_{2,}\)", r"【[^】\n]{1,40}】", r"(?<=[:：] )_{4,}",
-]
+CHUNK = 2_000_000  # characters of whole texts that a task holds as tokens at once (one text may be longer)
+MEMO = 500_000  # spellings whose term a task remembers
+
+# The ways of writing an open template field, by the name of their term.
+_NAME = r" ?[A-Za-z][\w .|#'-]*"
+_CODE = r" ?[A-Za-z_][^{}:;|\n]*(?:\|[^{}\n]*)?"  # a name, a condition, filters
+FIELD = {
+    "⟦xxx⟧": rf"\b(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b", "⟦{{⟧": rf"\{{\{{\{{?[~-]? ?[#/^>&!.$@]{{0,2}}{_CODE}\}}?\}}\}}", "⟦{%⟧": r"\{%[-+]? ?[A-Za-z_][^{}%\n]*%\}", "⟦<%⟧": r"<%[=-]? ?@?[A-Za-z_][^%\n]*%>",
+    "⟦${⟧": rf"\$\{{{_NAME}\}}", "⟦#{⟧": rf"#\{{{_NAME}\}}", "⟦[[⟧": rf"\[\[{_NAME}\]\]", "⟦«⟧": r"«[a-z][a-z0-9_]+»", "⟦@@⟧": rf"@@{_NAME}@@", "⟦%%⟧": rf"%%{_NAME}%%", "⟦*|⟧": r"\*\|[A-Z][A-Z0-9_:]*\|\*",
+    "⟦__⟧": r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)", "⟦[insert⟧": r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|enter|Enter) [^\]\n]+\]", "⟦<your⟧": r"<(?:your|YOUR|Your|insert|INSERT|Insert|enter|ENTER|Enter) [\w ]+>",
+    "⟦<⟧": r"<[A-Z][A-Z_ ]{2,}>", "⟦[⟧": r"\[[A-Z][A-Z_ ]{2,}\]", "⟦(_)⟧": r"\([A-Za-z_ ]{2,}: ?_{2,}\)", "⟦【⟧": r"【[^】\n]+】", "⟦_⟧": r"(?<=[:：] )_{4,}",
+    "⟦{⟧": r"(?<![\w$#@{\"'(/=.\\])\{[A-Za-z][\w. -]*\}(?![\w}/\"'])", "⟦[n⟧": r"(?<![\w\]])\[[A-Z][a-z]+(?: [A-Za-z]+)*\](?![\w(\[:])",
+}
 # Brackets and names that code, logs and mark-up use and that are no open fields.
 NO_FIELD = re.compile(
     r"\[(?:ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL|NOTE|NOTICE|PASS|PASSED|FAIL|FAILED|SKIP|SKIPPED|DONE|START|END|REDACTED)\]"
     r"|</?(?:HTML|HEAD|BODY|DIV|SPAN|SCRIPT|NOSCRIPT|STYLE|TABLE|CENTER|PRE|CODE|STRONG|META|LINK|FORM|INPUT|IMG|FOOTER|HEADER|MAIN|NAV)>"
     r"|__(?:FILE|LINE|FUNCTION|DATE__ __TIME|TIMESTAMP|COUNTER|APPLE|init|main|name|file|weak|strong|block|func)__|【\d+】"
 )
-_FIELD = re.compile("|".join(FIELD))
-_SPLIT = re.compile(r"(?<=[.?!;])\s+|(?<=[。？！])|\n|</?(?:p|h\d|title|body|html|br|div|li|tr)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
-_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|`[^`\n]{1,400}`|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|「[^」\n]{1,400}」|(?<!\w)'[^'\n]{1,400}'(?!\w)")
-_WORD = re.compile(rf"{re.escape(SLOT)}|[^\W_]+|\S", re.U)
-_NUMBER = re.compile(r"^(?=.*\d)[0-9a-f]+$")
-_SCRIPT = {"javascript": "script", "js": "script", "scripts": "script", "scripting": "script", "javascripts": "script"}
-
-
-def words(passage: str) -> list[str]:
-    """Lower-case words, each Chinese character for itself; figures and hex count as #, punctuation not at all."""
-    out = []
-    for w in _WORD.findall(passage.lower()):
-        if w == SLOT:
-            out.append(w)
-        elif not w.isalnum():
-            continue
-        elif w.isascii():
-            out.append("#" if _NUMBER.match(w) and len(w) != 3 else _SCRIPT.get(w, w))
-        elif any("一" <= c <= "鿿" for c in w):
-            out += list(w)
+_KINDS = [(term, re.compile(p)) for term, p in FIELD.items()]
+_ANY = "|".join(FIELD.values())
+_TAG = r"</?[A-Za-z!][^<>\n]*>"
+_BLOCK = re.compile(r"</?(?:p|h\d|title|body|html|head|br|div|li|tr|td|ul|ol|table|center|hr)\b", re.I)
+_TOKEN = re.compile(
+    rf"{FIELD['⟦xxx⟧']}|[^\W_一-鿿]+(?:['’](?:s|t|re|ve|ll|d|m)\b)?|[一-鿿]|\n|`(?:{_ANY})`|'(?:{_ANY})'|\"(?:{_ANY})\"|{_ANY}|{_TAG}|[.?!;]+(?=\s|$)|[。？！]|[\"`“”„「」]"
+)
+_HEX = re.compile(r"(?=.*\d)[0-9a-f]+$")
+
+# Words that count as one, by stem.
+SYNONYMS = {
+    w: to
+    for to, ws in {
+        "script": "javascript js scripts scripting noscript javascripts", "enabl": "activat allow permit", "disabl": "deactivat block", "not": "cannot can't couldn't won't doesn't don't isn't wasn't aren't didn't haven't hasn't no unabl ohne nicht kein keine",
+        "page": "website webpage", "find": "found locat", "requir": "need necessary must", "view": "see display show read shown seen", "login": "signin logged", "request": "ask", "wrong": "broke broken", "exist": "exists",
+        "fail": "failed failure", "content": "contents", "script_de": "skripte", "reload": "refresh", "insert": "add enter put", "text": "texts", "sorry": "oops", "deny": "denied forbidden refused", "busy": "overload", "maintenanc": "downtime",
+        "second": "minut moment", "browser": "browsers", "switch": "turn", "work": "function run load", "sampl": "placeholder example dummy", "describ": "description", "remov": "delet", "unauthoriz": "unauthoris authoriz authoris",
+    }.items()
+    for w in ws.split()
+}
+# Words that are never distinctive, even where a small corpus lacks them.
+FUNCTION_WORDS = "a an and are as at be been but by can do for from has have if in is it its no not of on or our so that the their there they this to was we were will with you your der die das ein eine ist und in auf zu".split()
+
+
+def stem(w: str) -> str:
+    """A word without the common English endings; synonyms count as one."""
+    if w in SYNONYMS:
+        return SYNONYMS[w]
+    if w.endswith(("'s", "’s")):
+        w = w[:-2]
+    if w.isascii() and w.isalpha():
+        for end, least in (("ing", 7), ("ed", 6), ("es", 6), ("s", 4), ("e", 5)):
+            if len(w) >= least and w.endswith(end) and not w.endswith("ss"):
+                w = w[: -len(end)]
+                break
         else:
-            out.append(w)
-    return out
-
-
-def _mark_fields(text: str) -> str:
-    def put(m: re.Match) -> str:
-        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-        if NO_FIELD.fullmatch(m[0]) or (before and before == after and before in "`'\""):
-            return " quoted "
-        return f" {SLOT} "
-
-    return _FIELD.sub(put, text)
-
-
-def _parts(text: str) -> list[tuple[str, list[str]]]:
-    """(passage, words) of each line or sentence."""
-    parts = [(p, words(_TAG.sub(" ", p))) for p in _SPLIT.split(_mark_fields(text)) if p and p.strip()]
-    return [(p, w) for p, w in parts if w]
-
+            return SYNONYMS.get(w, w)
+        if w.endswith("e") and len(w) >= 5:
+            w = w[:-1]
+    return SYNONYMS.get(w, w)
+
+
+PLAIN_WORDS = frozenset(map(stem, FUNCTION_WORDS))
+LINE, SENTENCE, QUOTE, DROP, DOC = -1, -2, -3, -4, -5
+
+
+class Terms(dict):
+    """Spelling to the number of its term, or to one of LINE, SENTENCE, QUOTE, DROP, DOC; terms holds the terms by number."""
+
+    def __init__(self):
+        super().__init__({"\n": LINE, "\0": DOC, "。": SENTENCE, "？": SENTENCE, "！": SENTENCE} | dict.fromkeys('"`“”„「」', QUOTE))
+        self.terms: list[str] = []
+        self.number: dict[str, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        n = self[raw] = self.code(raw)
+        return n
+
+    def code(self, raw: str) -> int:
+        if raw[0] in ".?!;":
+            return SENTENCE
+        if not raw[0].isalnum() or raw.lower().startswith("xxx-"):
+            term = next((t for t, p in _KINDS if p.fullmatch(raw, 0)), None) if not NO_FIELD.fullmatch(raw) else None
+            if term is None and raw[0] in "_(:" and set(raw) == {"_"}:
+                term = "⟦_⟧"
+            if term is None and raw[0] in "{[":
+                term = "⟦{⟧" if raw[0] == "{" else "⟦[n⟧"
+            if NO_FIELD.fullmatch(raw):
+                term = None if raw[0] == "<" else raw.lower().strip("[]_【】")
+            elif raw[0] in "\"'`":
+                term = "quoted"  # a field that is quoted is spoken about
+            elif raw[0] == "<" and term is None:
+                return LINE if _BLOCK.match(raw) else DROP
+            if term is None:
+                return DROP
+            return self.of(term)
+        w = raw.lower().replace("’", "'")
+        if w.isascii() and _HEX.match(w) and len(w) != 3:
+            return self.of("#")
+        return self.of(stem(w))
+
+    def of(self, term: str) -> int:
+        if term not in self.number:
+            self.number[term] = len(self.terms)
+            self.terms.append(term)
+        return self.number[term]
 
-def windows(text: str) -> list[tuple[str, list[str]]]:
-    """(passage, words) of each line or sentence, and of two in a row if the first is short."""
-    single = _parts(text)
-    return single + [(a + " " + b, v + w) for (a, v), (b, w) in zip(single, single[1:]) if len(v) <= 8]
 
-
-def fields(text: str) -> Iterator[tuple[str, list[str], list[str]]]:
-    """(sentence, the word SLOT, words around it) of each open field; fields of a sentence with the same words around count once."""
-    for p, ws in _parts(text):
-        seen = set()
-        for a in (a for a, w in enumerate(ws) if w == SLOT):
-            around = ws[max(0, a - AROUND) : a + 1 + AROUND]
-            if (key := frozenset(around)) not in seen:
-                seen.add(key)
-                yield p, [SLOT], around
-
-
-def runs(text: str, known: frozenset[str], least: int) -> Iterator[tuple[int, list[str], list[str]]]:
-    """(place, words, words around it in its sentences) of each run of INNER words that holds `least` known words.
-
-    Runs go over the ends of lines, so wrapped notices are found, and never over a quote. The place is the number of the run's first word.
-    """
-    stream: list[str | None] = []
-    ends: list[int] = []  # for each word the end of its line or sentence
-    for p in _SPLIT.split(_QUOTED.sub("\0", _mark_fields(text))):
-        part: list[str | None] = []
-        for q, piece in enumerate(_TAG.sub(" ", p or "").split("\0")):
-            part += ([None] if q else []) + words(piece)
-        ends += [len(stream) + len(part)] * len(part)
-        stream += part
-    n = len(stream)
-    held = list(accumulate((w in known for w in stream), initial=0))
-    broken = list(accumulate((w is None for w in stream), initial=0))
-    begins = [0] * n
-    for k in range(1, n):
-        begins[k] = begins[k - 1] if ends[k] == ends[k - 1] else k
-    for size in INNER:
-        for a in range(n - size + 1):
-            b = a + size
-            if held[b] - held[a] >= least and broken[b] == broken[a]:
-                around = stream[max(begins[a], a - AROUND) : min(ends[b - 1], b + AROUND)]
-                yield a, stream[a:b], [w for w in around if w is not None]
+def words(passage: str) -> list[str]:
+    """The terms of a passage in order."""
+    terms = Terms()
+    return [terms.terms[c] for c in map(terms.__getitem__, _TOKEN.findall(passage)) if c >= 0]
 
 
 class Index:
-    """Inverted index of the exemplars: word to exemplars; exemplar 0 is SLOT itself."""
+    """Inverted index of the exemplars: term to the exemplars that hold it."""
 
-    def __init__(self, residue: dict[str, list[str]] = RESIDUE, genuine: list[str] = GENUINE):
-        rows = [("field", SLOT)] + [(label, e) for label, es in residue.items() for e in es] + [("genuine", e.replace("SLOT", SLOT)) for e in genuine]
+    def __init__(self, residue: dict[str, list[str]] | None = None, genuine: list[str] = GENUINE):
+        if residue is None:
+            residue = {"field": FIELDS} | {f: PUBLIC[f] + SEEN[f] for f in PUBLIC}
+        rows = [(label, e) for label, es in residue.items() for e in es] + [("genuine", e) for e in genuine]
         self.label = [label for label, _ in rows]
-        self.words = [frozenset(words(e)) for _, e in rows]
-        self.at: dict[str, list[int]] = defaultdict(list)
+        self.words = [frozenset(t for t in words(e) if label != "field" or t[0] == "⟦") for label, e in rows]
+        self.families = sorted({f for f in self.label if f not in ("field", "genuine")})
+        self.terms = sorted({w for ws in self.words for w in ws})
+        self.number = {w: n for n, w in enumerate(self.terms)}
+        self.posting = [np.array([n for n, ws in enumerate(self.words) if t in ws], dtype=np.int64) for t in self.terms]
+        self.field_terms = frozenset(w for n, ws in enumerate(self.words) if self.label[n] == "field" for w in ws)
+        self.size = np.array([len(ws) for ws in self.words], dtype=float)
+        self.is_genuine = np.array([f == "genuine" for f in self.label], dtype=bool)
+        self.family = np.array([self.families.index(f) if f in self.families else -1 for f in self.label])
+        self.is_long = np.array([f in self.families and len(ws) >= INNER_WORDS for f, ws in zip(self.label, self.words)], dtype=bool)
+        self.run_hold = np.array([0.25 if f == "filler" else INNER_OF_EXEMPLAR for f in self.label])
+        self.bag = np.zeros((len(self.terms) + 1, 2), dtype=bool)  # words of any residue exemplar and of the long ones; last row: words of none
         for n, ws in enumerate(self.words):
             for w in ws:
-                self.at[w].append(n)
-        self.long = frozenset(n for n, ws in enumerate(self.words) if n and self.label[n] != "genuine" and len(ws) >= INNER_WORDS)
-        self.known = frozenset(w for n, ws in enumerate(self.words) if self.label[n] != "genuine" for w in ws)
-        self.known_long = frozenset(w for n in self.long for w in self.words[n])
-        self.least_long = min((math.ceil(self.least_hold(n) * len(self.words[n])) for n in self.long), default=0)
-
-    def least_hold(self, n: int) -> float:
-        """The share of exemplar n that a run must hold."""
-        return 0.25 if self.label[n] == "filler" else INNER_OF_EXEMPLAR
-
-    def candidates(self, ws: set[str], weight: "Weights") -> list[int]:
-        """Exemplars that may hold LEAST_COVER (genuine: GENUINE_COVER) of the words' weight; none if no residue exemplar may."""
-        total = sum(weight(w) for w in ws)
-        if sum(weight(w) for w in ws if w in self.known) < LEAST_COVER * total - 1e-9:
-            return []
-        held: dict[int, float] = defaultdict(float)
-        for w in ws:
-            for n in self.at.get(w, ()):
-                held[n] += weight(w)
-        found = [n for n, h in held.items() if self.label[n] != "genuine" and h >= LEAST_COVER * total - 1e-9]
-        return found + self.genuine(ws, weight) if found else []
-
-    def run_candidates(self, ws: set[str], weight: "Weights") -> list[int]:
-        """The long exemplars among the candidates that the words hold as much of as a run must."""
-        if len(ws & self.known_long) < self.least_long:
-            return []
-        return [n for n in self.candidates(ws, weight) if n in self.long and len(ws & self.words[n]) >= self.least_hold(n) * len(self.words[n])]
-
-    def genuine(self, ws: set[str], weight: "Weights") -> list[int]:
-        """Genuine exemplars that may hold GENUINE_COVER of the words' weight."""
-        least = GENUINE_COVER * sum(weight(w) for w in ws) - 1e-9
-        hits = {n for w in ws for n in self.at.get(w, ()) if self.label[n] == "genuine"}
-        return [n for n in hits if sum(weight(w) for w in ws if w in self.words[n]) >= least]
+                if self.family[n] >= 0:
+                    self.bag[self.number[w]] |= (True, self.is_long[n])
+
+    def held(self, window: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, number of distinct terms) of each of n windows that each exemplar holds; term is -1 for words of no exemplar."""
+        known = term >= 0
+        window, term, weight = window[known], term[known], weight[known]
+        lists = [self.posting[t] for t in term.tolist()]
+        k = np.array([len(x) for x in lists], dtype=np.int64)
+        size = len(self.label)
+        at = np.repeat(window, k) * size + (np.concatenate(lists) if lists else np.empty(0, dtype=np.int64))
+        return np.bincount(at, np.repeat(weight, k), n * size).reshape(n, size), np.bincount(at, minlength=n * size).reshape(n, size)
 
 
 class Weights:
@@ -191,7 +195,7 @@ class Weights:
 
     def __init__(self, counts: DataFrame, n_docs: int, index: Index):
         frequent = counts.orderBy(F.desc("df"), "term").limit(KNOWN_TERMS).collect()
-        mine = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in index.at], "term string")), "term").collect()
+        mine = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in index.terms], "term string")), "term").collect()
         self.known = {r.term: math.log(1 + n_docs / r.df) for r in frequent + mine}
         self.rest = math.log(1 + n_docs / frequent[-1].df) if frequent else 0.0
 
@@ -199,56 +203,175 @@ class Weights:
         return self.known.get(term, self.rest)
 
 
+def _chunks(ids: list, texts: list) -> Iterator[tuple[list, list[str]]]:
+    """(ids, tokens) of documents, about CHUNK characters at a time; each document ends with the token \\0."""
+    held, out, tokens = 0, [], []
+    for i, t in zip(ids, texts):
+        if t:
+            out.append(i)
+            tokens += _TOKEN.findall(t)
+            tokens.append("\0")
+            held += len(t)
+            if held >= CHUNK:
+                yield out, tokens
+                held, out, tokens = 0, [], []
+    if out:
+        yield out, tokens
+
+
 def term_counts(documents: DataFrame) -> DataFrame:
-    """(term, df) over all documents: in how many documents a word stands; counted per batch, then summed."""
+    """(term, df) over all documents: in how many documents a word stands; counted per chunk, then summed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms()
         for batch in batches:
-            c: Counter = Counter()
-            for t in batch["text"]:
-                if t:
-                    c.update({w for _, ws in _parts(t) for w in ws})
-            yield pd.DataFrame({"term": list(c), "df": list(c.values())}, columns=["term", "df"])
+            for _, tokens in _chunks(list(range(len(batch))), batch["text"].tolist()):
+                a = np.fromiter(map(terms.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                doc = np.cumsum(a == DOC)
+                pairs = np.unique((doc[a >= 0] << 32) | a[a >= 0])
+                df = np.bincount(pairs & 0xFFFFFFFF, minlength=len(terms.terms))
+                some = np.flatnonzero(df)
+                yield pd.DataFrame({"term": [terms.terms[n] for n in some.tolist()], "df": df[some]})
+                if len(terms) > MEMO:
+                    terms = Terms()
 
     return documents.select("text").mapInPandas(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 VERDICT = T.StructType([T.StructField("family", T.StringType()), T.StructField("cover", T.DoubleType())])
-CANDIDATE = "doc_id long, passage string, place int, terms array<string>, context array<string>, exemplars array<int>"
+BAG = "array<struct<term:string,n:int>>"
+CANDIDATE = f"doc_id long, passage string, place int, terms {BAG}, context {BAG}, exemplars array<int>"
+
+
+class _Scan:
+    """Windows of tokens that exemplars may hold; numpy over all tokens of a chunk, Python only for the windows that are left."""
+
+    def __init__(self, index: Index, weight: Weights):
+        self.index, self.weight = index, weight
+        self.reset()
+
+    def reset(self) -> None:
+        self.terms, self.of, self.w = Terms(), np.empty(0, dtype=np.int64), np.empty(0)
+
+    def learn(self) -> None:
+        new = self.terms.terms[len(self.of) :]
+        self.of = np.concatenate([self.of, np.array([self.index.number.get(t, -1) for t in new], dtype=np.int64)])
+        self.w = np.concatenate([self.w, np.array([self.weight(t) for t in new], dtype=float)])
+
+    def rows(self, ids: list, tokens: list[str]) -> Iterator[tuple]:
+        index = self.index
+        a = np.fromiter(map(self.terms.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        self.learn()
+        line_end = (a == LINE) | (a == DOC)
+        line, quote = np.cumsum(line_end), np.cumsum(a == QUOTE)
+        # A word is quoted if an odd number of quote signs of its line stand before it and the line has an even number of them.
+        before = np.concatenate([[0], quote[line_end]])
+        in_line = quote - before[np.minimum(line - line_end, len(before) - 1)]
+        total = np.diff(np.concatenate([before, [quote[-1]]]))
+        odd = (in_line % 2 == 1) & (total[np.minimum(line - line_end, len(total) - 1)] % 2 == 0)
+        part_end = line_end | (a == SENTENCE)
+        keep = np.flatnonzero(a >= 0)
+        if not len(keep):
+            return
+        t, doc, part, quoted = a[keep], (np.cumsum(a == DOC) - (a == DOC))[keep], np.cumsum(part_end)[keep], odd[keep]
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        stop = np.concatenate([start[1:], [len(t)]])
+        seg = np.repeat(np.arange(len(start)), stop - start)
+        w, code = self.w[t], self.of[t]
+        bag = index.bag[code]
+        c = np.concatenate([[0.0], np.cumsum(w)])
+        any_of, long_of = (np.concatenate([[0.0], np.cumsum(w * bag[:, k])]) for k in (0, 1))
+        most = lambda lo, hi: any_of[hi] - any_of[lo]
+        enough = min(LEAST_COVER, TOGETHER_COVER) - 1e-9
+
+        # Lines and sentences, and two in a row.
+        ok = most(start, stop) >= enough * (c[stop] - c[start])
+        lo, hi = start[ok], stop[ok]
+        if len(start) > 1:
+            two = (doc[start[:-1]] == doc[start[1:]]) & (most(start[:-1], stop[1:]) >= enough * (c[stop[1:]] - c[start[:-1]]))
+            lo, hi = np.concatenate([lo, start[:-1][two]]), np.concatenate([hi, stop[1:][two]])
+        yield from self._emit(ids, tokens, keep, t, code, w, doc, lo, hi, None, None)
+
+        # Open fields, each with the words around it.
+        fields = np.flatnonzero(np.isin(t, [n for x in index.field_terms if (n := self.terms.number.get(x)) is not None]))
+        if len(fields):
+            s = seg[fields]
+            yield from self._emit(ids, tokens, keep, t, code, w, doc, fields, fields + 1, np.maximum(start[s], fields - AROUND), np.minimum(stop[s], fields + 1 + AROUND))
+
+        # Runs of words over the ends of lines, outside quotes.
+        if not index.is_long.any():
+            return
+        least = (index.size * index.run_hold)[index.is_long].min()
+        cq, held = np.concatenate([[0], np.cumsum(quoted)]), np.concatenate([[0], np.cumsum(bag[:, 1])])
+        for size in INNER:
+            i = np.arange(len(t) - size + 1)
+            j = i + size
+            good = (doc[i] == doc[j - 1]) & (cq[j] == cq[i]) & (held[j] - held[i] >= least) & (long_of[j] - long_of[i] >= (LEAST_COVER - 1e-9) * (c[j] - c[i]))
+            i, j = i[good], j[good]
+            if len(i):
+                yield from self._emit(ids, tokens, keep, t, code, w, doc, i, j, np.maximum(start[seg[i]], i - AROUND), np.minimum(stop[seg[j - 1]], j + AROUND), run=True)
+
+    def _emit(self, ids, tokens, keep, t, code, w, doc, lo, hi, around_lo, around_hi, run: bool = False) -> Iterator[tuple]:
+        index = self.index
+        for b in range(0, len(lo), 2000):
+            l, h = lo[b : b + 2000], hi[b : b + 2000]
+            total, held, n = self._held(code, w, t, l, h)
+            fits = ~index.is_genuine & (held >= (LEAST_COVER - 1e-9) * total[:, None])
+            if run:
+                fits &= index.is_long & (n >= index.run_hold * index.size - 1e-9)
+            elif around_lo is None:
+                best = np.where(index.family >= 0, held, 0.0)
+                order = np.argsort(-best, axis=1, kind="stable")[:, :TOGETHER]
+                for r in np.flatnonzero(best.max(axis=1) >= (TOGETHER_BEST - 1e-9) * total).tolist():
+                    fits[r, [e for e in order[r].tolist() if best[r, e] > 0]] = True
+            keep_rows = fits.any(axis=1)
+            if around_lo is None:
+                gen = index.is_genuine & (held >= (GENUINE_COVER - 1e-9) * total[:, None])
+            else:
+                al, ah = around_lo[b : b + 2000], around_hi[b : b + 2000]
+                around_total, around_held, _ = self._held(code, w, t, al, ah)
+                gen = index.is_genuine & (around_held >= (GENUINE_COVER - 1e-9) * around_total[:, None])
+            for r in np.flatnonzero(keep_rows).tolist():
+                x, y = int(l[r]), int(h[r])
+                context = None if around_lo is None else self._bag(t, int(al[r]), int(ah[r]))
+                first, last = (x, y) if run or around_lo is None else (int(al[r]), int(ah[r]))
+                passage = " ".join(" ".join(tokens[keep[first] : keep[last - 1] + 1]).split())
+                yield ids[int(doc[x])], passage, x if run else None, self._bag(t, x, y), context, np.flatnonzero(fits[r] | gen[r]).tolist()
+
+    def _held(self, code, w, t, lo, hi):
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        window = np.repeat(np.arange(len(lo)), n)
+        total = np.bincount(window, w[at], len(lo))
+        weight, _ = self.index.held(window, code[at], w[at], len(lo))
+        once = np.unique((window << 32) | t[at], return_index=True)[1]
+        _, distinct = self.index.held(window[once], code[at][once], w[at][once], len(lo))
+        return total, weight, distinct
+
+    def _bag(self, t, lo: int, hi: int) -> list[tuple[str, int]]:
+        x, n = np.unique(t[lo:hi], return_counts=True)
+        return sorted((self.terms.terms[k], m) for k, m in zip(x.tolist(), n.tolist()))
 
 
 def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> DataFrame:
-    """Rows of CANDIDATE: windows that an exemplar may hold; context is null but for runs of words and fields, place but for runs."""
+    """Rows of CANDIDATE: windows that exemplars may hold; context is null but for runs of words and fields, place but for runs."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CANDIDATE.split(", ")]
+        columns = ["doc_id", "passage", "place", "terms", "context", "exemplars"]
+        s = _Scan(index, weight)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                for passage, ws in windows(text) if text else ():
-                    terms = set(ws)
-                    found = index.candidates(terms, weight)
-                    if found:
-                        rows.append((doc_id, passage, None, sorted(terms), None, sorted(found)))
-                for passage, ws, around in fields(text) if text else ():
-                    context = set(around)
-                    found = {*index.candidates(set(ws), weight), *index.genuine(context, weight)}
-                    rows.append((doc_id, passage, None, ws, sorted(context), sorted(found)))
-                for place, ws, around in runs(text, index.known_long, index.least_long) if text else ():
-                    terms = set(ws)
-                    found = index.run_candidates(terms, weight)
-                    if found:
-                        context = set(around)
-                        rows.append((doc_id, " ".join(ws), place, sorted(terms), sorted(context), sorted({*found, *index.genuine(context, weight)})))
-            yield pd.DataFrame(rows, columns=columns).astype({"place": "Int32"})
+            for ids, tokens in _chunks(batch["doc_id"].tolist(), batch["text"].tolist()):
+                yield pd.DataFrame(list(s.rows(ids, tokens)), columns=columns).astype({"place": "Int32"})
+                if len(s.terms) > MEMO:
+                    s.reset()
 
     return documents.select("doc_id", "text").mapInPandas(scan, CANDIDATE)
 
 
 def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
-    """(doc_id, passage, family, cover): the windows that are residue, with the family and coverage of the best exemplar.
+    """(doc_id, passage, family, cover): the windows that are residue, as words, with the family and coverage of the best exemplars.
 
-    Of the overlapping runs of words in a document the best one of each family is given, in plain words, and only where no line or sentence of it is of that family.
+    Of the overlapping runs of words in a document the best one of each family is given, and only where no line or sentence of it is of that family.
     """
     index = index or Index()
     documents = spread(documents.select("doc_id", "text"))
@@ -256,13 +379,14 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
     n_docs = documents.count()
     found = cut(candidate_windows(documents, index, Weights(counts, n_docs, index)))  # few windows of the corpus
     key = ["terms", "context", "exemplars"]
-    distinct = found.select(*key).distinct().withColumn("all", F.array_union("terms", F.coalesce("context", F.array())))
+    distinct = found.select(*key).distinct()
+    both = F.array_distinct(F.transform(F.concat("terms", F.coalesce("context", F.array().cast(BAG))), lambda x: x["term"]))
     idf = (
-        counts.join(distinct.select(F.explode("all").alias("term")).distinct(), "term", "left_semi")
+        counts.join(distinct.select(F.explode(both).alias("term")).distinct(), "term", "left_semi")
         .select("term", F.log(1 + F.lit(n_docs) / F.col("df")).alias("idf"))
     )
     weighed = (
-        distinct.select(*key, F.explode("all").alias("term")).join(idf, "term")
+        distinct.select(*key, F.explode(both).alias("term")).join(idf, "term")
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     )
     judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars").alias("v")).where("v.family is not null")
@@ -279,31 +403,42 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
 def _judge(index: Index):
     distinctive = math.log(1 + 1 / DISTINCTIVE_DF)
 
+    def verdict(idf: dict, ws: dict, around: dict | None, found: list[int]) -> tuple:
+        total = sum(idf[t] * n for t, n in ws.items()) or math.inf
+        weigh = lambda held: sum(idf[t] * ws[t] for t in held)
+        best, family, genuine, some = 0.0, None, 0.0, []
+        for n in found:
+            label = index.label[n]
+            if label == "genuine":
+                c = ws if around is None else around
+                held = c.keys() & index.words[n]
+                if len(held) >= LEAST_OF_EXEMPLAR * len(index.words[n]):
+                    genuine = max(genuine, sum(idf[t] * c[t] for t in held) / (sum(idf[t] * k for t, k in c.items()) or math.inf))
+                continue
+            held = ws.keys() & index.words[n]
+            cover, hold = weigh(held) / total, len(held) / len(index.words[n])
+            some.append((cover, held, label))
+            rare = around is None and len(held) >= DISTINCTIVE_WORDS and min(idf[t] for t in held) >= distinctive
+            if around is not None:
+                enough = hold >= index.run_hold[n] or label == "field"
+            else:
+                enough = rare or hold >= (0.25 if label == "filler" else LEAST_OF_EXEMPLAR)
+            if cover >= LEAST_COVER and enough and len(held) >= min(2, len(index.words[n])) and cover > best:
+                best, family = cover, label
+        if around is None and family is None:
+            top = sorted(some, key=lambda x: -x[0])[:TOGETHER]
+            held = set().union(*(h for _, h, _ in top))
+            cover = weigh(held) / total
+            several = len(held) >= TOGETHER_WORDS and sum(idf[t] >= distinctive for t in held - PLAIN_WORDS) >= TOGETHER_RARE
+            if several and top[0][0] >= TOGETHER_BEST and cover >= TOGETHER_COVER:
+                best, family = cover, top[0][2]
+        if around is not None and genuine >= GENUINE_COVER:
+            family = None
+        return (family, best) if family and (around is not None or best > genuine) else (None, None)
+
     @F.pandas_udf(VERDICT)
     def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series) -> pd.DataFrame:
-        out = []
-        for weights, ws, around, found in zip(idf, terms, context, exemplars):
-            weights = dict(weights)
-            ws, run = set(ws), around is not None  # a run of words or a field
-            around = set(around) if run else ws
-            total, total_around = (sum(weights[t] for t in x) or math.inf for x in (ws, around))
-            residue, genuine, family = 0.0, 0.0, None
-            for n in found:
-                if index.label[n] == "genuine":
-                    held = around & index.words[n]
-                    if len(held) >= LEAST_OF_EXEMPLAR * len(index.words[n]):
-                        genuine = max(genuine, sum(weights[t] for t in held) / total_around)
-                    continue
-                held = ws & index.words[n]
-                cover = sum(weights[t] for t in held) / total
-                hold = len(held) / len(index.words[n])
-                rare = not run and len(held) >= DISTINCTIVE_WORDS and min(weights[t] for t in held) >= distinctive
-                enough = hold >= index.least_hold(n) if run else rare or hold >= (0.25 if index.label[n] == "filler" else LEAST_OF_EXEMPLAR)
-                if cover >= LEAST_COVER and enough and cover > residue:
-                    residue, family = cover, index.label[n]
-            if run and genuine >= GENUINE_COVER:
-                family = None
-            out.append((family, residue) if family and (run or residue > genuine) else (None, None))
-        return pd.DataFrame(out, columns=["family", "cover"])
+        bag = lambda x: None if x is None else {e["term"]: e["n"] for e in x}
+        return pd.DataFrame([verdict(dict(i), bag(t), bag(c), list(e)) for i, t, c, e in zip(idf, terms, context, exemplars)], columns=["family", "cover"])
 
     return judge

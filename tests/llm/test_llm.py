@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.llm import consensus, leakage, mixing, residue, sampling
+from reckoner.llm import consensus, exemplars, leakage, mixing, residue, sampling
 from reckoner.llm.plaintext import plain
 
+from . import held_out
+
 T0 = dt.datetime(2025, 1, 1)
 ANN = (
     "ann_id long, pass_name string, site_id string, is_api_use string, value_fate array<string>, applicable_reason string, "
@@ -260,11 +262,27 @@ def test_fields_are_looked_up(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.family, r.cover) for r in residue.find_residue(df).collect()}
     assert got == {(1000 + i, "field", 1.0) for i in range(len(forms))}
-    index = residue.Index()
-    index.at[residue.SLOT].remove(0)  # a field that the index doesn't hold is no residue
+    index = residue.Index({"error": ["404 Not Found"]})  # a field that the index doesn't hold is no residue
     assert residue.find_residue(df, index).count() == 0
 
 
+HELD_OUT = [(held_out.TUNED, held_out.GENUINE, 0.85, 1), (held_out.FRESH, held_out.FRESH_GENUINE, 0.85, 0), (held_out.LAST, held_out.LAST_GENUINE, 0.75, 0)]
+
+
+def test_residue_in_new_wordings(spark):
+    """Recall on wordings that no exemplar has, before a background of plain documents; LAST was written last and no exemplar followed from it."""
+    known = {e for f in (exemplars.PUBLIC, exemplars.SEEN) for es in f.values() for e in es}
+    base = [(i, t) for i, t in enumerate(PLAIN * 40)]
+    for residue_of, genuine, least, most in HELD_OUT:
+        new = [t for ts in residue_of.values() for t in ts if t not in known]
+        assert len(new) > 100
+        rows = base + [(10_000 + i, t) for i, t in enumerate(new)] + [(20_000 + i, t) for i, t in enumerate(genuine)]
+        got = {r.doc_id for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id").distinct().collect()}
+        print("recall", sum(10_000 <= i < 20_000 for i in got), len(new), sum(i >= 20_000 for i in got))
+        assert sum(10_000 <= i < 20_000 for i in got) >= least * len(new)
+        assert sum(i >= 20_000 for i in got) <= most and not any(i < 10_000 for i in got)
+
+
 def test_openings_are_shared_by_items_not_rows(spark):
     zh = ["".join(chr(a + 7 * i) for i in range(50)) for a in (0x4E00, 0x5E00, 0x6E00)]
     one = " ".join(f"c{i}" for i in range(30)) + "."
