@@ -37,7 +37,7 @@ TOGETHER_WORDS, TOGETHER_RARE = 4, 2  # distinct words that they must hold, and
 LEAST_OF_EXEMPLAR = 0.45  # share of the exemplar's words (filler: 0.25) that a window must hold, unless it is distinctive
 DISTINCTIVE_WORDS, DISTINCTIVE_DF = 3, 0.05  # a fragment of so many held words, each in at most this share of the documents
 INNER = (6, 8, 11, 15, 20)  # words of the overlapping windows inside longer text, each at most 1 / LEAST_COVER of the one before
-INNER_OF_EXEMPLAR, INNER_WORDS = 0.8, 5  # share of the exemplar that they must hold, and the least words of such an exemplar
+INNER_OF_EXEMPLAR, INNER_WORDS, RUN_RARE = 0.8, 5, 2  # share of the exemplar that they must hold, the least words of such an exemplar, and how many held ones must be distinctive
 GENUINE_COVER = 0.5
 AROUND = 20  # words before and after a run that are weighed as its sentence
 KNOWN_TERMS = 20_000  # most frequent terms whose weights go to the tasks; rarer ones have a bound
@@ -48,7 +48,7 @@ MEMO = 500_000  # spellings whose term a task remembers
 _NAME = r" ?[A-Za-z][\w .|#'-]*"
 _CODE = r" ?[A-Za-z_][^{}:;|\n]*(?:\|[^{}\n]*)?"  # a name, a condition, filters
 FIELD = {
-    "⟦xxx⟧": rf"\b(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b", "⟦{{⟧": rf"\{{\{{\{{?[~-]? ?[#/^>&!.$@]{{0,2}}{_CODE}\}}?\}}\}}", "⟦{%⟧": r"\{%[-+]? ?[A-Za-z_][^{}%\n]*%\}", "⟦<%⟧": r"<%[=-]? ?@?[A-Za-z_][^%\n]*%>",
+    "⟦xxx⟧": rf"(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)\b", "⟦{{⟧": rf"\{{\{{\{{?[~-]? ?[#/^>&!.$@]{{0,2}}{_CODE}\}}?\}}\}}", "⟦{%⟧": r"\{%[-+]? ?[A-Za-z_][^{}%\n]*%\}", "⟦<%⟧": r"<%[=-]? ?@?[A-Za-z_][^%\n]*%>",
     "⟦${⟧": rf"\$\{{{_NAME}\}}", "⟦#{⟧": rf"#\{{{_NAME}\}}", "⟦[[⟧": rf"\[\[{_NAME}\]\]", "⟦«⟧": r"«[a-z][a-z0-9_]+»", "⟦@@⟧": rf"@@{_NAME}@@", "⟦%%⟧": rf"%%{_NAME}%%", "⟦*|⟧": r"\*\|[A-Z][A-Z0-9_:]*\|\*",
     "⟦__⟧": r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)", "⟦[insert⟧": r"\[(?:INSERT|insert|Insert|YOUR|your|Your|ENTER|enter|Enter) [^\]\n]+\]", "⟦<your⟧": r"<(?:your|YOUR|Your|insert|INSERT|Insert|enter|ENTER|Enter) [\w ]+>",
     "⟦<⟧": r"<[A-Z][A-Z_ ]{2,}>", "⟦[⟧": r"\[[A-Z][A-Z_ ]{2,}\]", "⟦(_)⟧": r"\([A-Za-z_ ]{2,}: ?_{2,}\)", "⟦【⟧": r"【[^】\n]+】", "⟦_⟧": r"(?<=[:：] )_{4,}",
@@ -64,8 +64,9 @@ _KINDS = [(term, re.compile(p)) for term, p in FIELD.items()]
 _ANY = "|".join(FIELD.values())
 _TAG = r"</?[A-Za-z!][^<>\n]*>"
 _BLOCK = re.compile(r"</?(?:p|h\d|title|body|html|head|br|div|li|tr|td|ul|ol|table|center|hr)\b", re.I)
+_OPENS = r"[\[(<{$#«@%*【_]"  # a field or tag starts with one of these; tried first, so other characters cost little
 _TOKEN = re.compile(
-    rf"{FIELD['⟦xxx⟧']}|[^\W_一-鿿]+(?:['’](?:s|t|re|ve|ll|d|m)\b)?|[一-鿿]|\n|`(?:{_ANY})`|'(?:{_ANY})'|\"(?:{_ANY})\"|{_ANY}|{_TAG}|[.?!;]+(?=\s|$)|[。？！]|[\"`“”„「」]"
+    rf"(?:XXX|xxx)-{_NAME}-(?:XXX|xxx)|[^\W_一-鿿]+(?:['’](?:s|t|re|ve|ll|d|m)\b)?|[一-鿿]|\n|[`'\"](?={_OPENS})(?:{_ANY})[`'\"]|(?={_OPENS})(?:{_ANY}|{_TAG})|[.?!;]+(?=\s|$)|[。？！]|[\"`“”„「」]"
 )
 _HEX = re.compile(r"(?=.*\d)[0-9a-f]+$")
 
@@ -169,25 +170,26 @@ class Index:
         self.posting = [np.array([n for n, ws in enumerate(self.words) if t in ws], dtype=np.int64) for t in self.terms]
         self.field_terms = frozenset(w for n, ws in enumerate(self.words) if self.label[n] == "field" for w in ws)
         self.size = np.array([len(ws) for ws in self.words], dtype=float)
+        self.genuine = [n for n, f in enumerate(self.label) if f == "genuine"]
         self.is_genuine = np.array([f == "genuine" for f in self.label], dtype=bool)
         self.family = np.array([self.families.index(f) if f in self.families else -1 for f in self.label])
         self.is_long = np.array([f in self.families and len(ws) >= INNER_WORDS for f, ws in zip(self.label, self.words)], dtype=bool)
         self.run_hold = np.array([0.25 if f == "filler" else INNER_OF_EXEMPLAR for f in self.label])
-        self.bag = np.zeros((len(self.terms) + 1, 2), dtype=bool)  # words of any residue exemplar and of the long ones; last row: words of none
+        self.bag = np.zeros((len(self.terms) + 1, 3), dtype=bool)  # words of any residue exemplar, of long filler, of other long ones; last row: words of none
         for n, ws in enumerate(self.words):
             for w in ws:
                 if self.family[n] >= 0:
-                    self.bag[self.number[w]] |= (True, self.is_long[n])
+                    self.bag[self.number[w]] |= (True, self.is_long[n] and self.label[n] == "filler", self.is_long[n] and self.label[n] != "filler")
 
-    def held(self, window: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(weight, number of distinct terms) of each of n windows that each exemplar holds; term is -1 for words of no exemplar."""
+    def held(self, window: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """The weight of each of n windows that each exemplar holds; term is -1 for words of no exemplar."""
         known = term >= 0
         window, term, weight = window[known], term[known], weight[known]
         lists = [self.posting[t] for t in term.tolist()]
         k = np.array([len(x) for x in lists], dtype=np.int64)
         size = len(self.label)
         at = np.repeat(window, k) * size + (np.concatenate(lists) if lists else np.empty(0, dtype=np.int64))
-        return np.bincount(at, np.repeat(weight, k), n * size).reshape(n, size), np.bincount(at, minlength=n * size).reshape(n, size)
+        return np.bincount(at, np.repeat(weight, k), n * size).reshape(n, size)
 
 
 class Weights:
@@ -240,7 +242,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
 VERDICT = T.StructType([T.StructField("family", T.StringType()), T.StructField("cover", T.DoubleType())])
 BAG = "array<struct<term:string,n:int>>"
-CANDIDATE = f"doc_id long, passage string, place int, terms {BAG}, context {BAG}, exemplars array<int>"
+CANDIDATE = f"doc_id long, passage string, place int, family string, cover double, terms {BAG}, context {BAG}, exemplars array<int>"
 
 
 class _Scan:
@@ -251,12 +253,13 @@ class _Scan:
         self.reset()
 
     def reset(self) -> None:
-        self.terms, self.of, self.w = Terms(), np.empty(0, dtype=np.int64), np.empty(0)
+        self.terms, self.of, self.w, self.plain = Terms(), np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=bool)
 
     def learn(self) -> None:
         new = self.terms.terms[len(self.of) :]
         self.of = np.concatenate([self.of, np.array([self.index.number.get(t, -1) for t in new], dtype=np.int64)])
         self.w = np.concatenate([self.w, np.array([self.weight(t) for t in new], dtype=float)])
+        self.plain = np.concatenate([self.plain, np.array([t in PLAIN_WORDS for t in new], dtype=bool)])
 
     def rows(self, ids: list, tokens: list[str]) -> Iterator[tuple]:
         index = self.index
@@ -280,7 +283,7 @@ class _Scan:
         w, code = self.w[t], self.of[t]
         bag = index.bag[code]
         c = np.concatenate([[0.0], np.cumsum(w)])
-        any_of, long_of = (np.concatenate([[0.0], np.cumsum(w * bag[:, k])]) for k in (0, 1))
+        any_of, filler_of, other_of = (np.concatenate([[0.0], np.cumsum(w * bag[:, k])]) for k in range(3))
         most = lambda lo, hi: any_of[hi] - any_of[lo]
         enough = min(LEAST_COVER, TOGETHER_COVER) - 1e-9
 
@@ -299,65 +302,81 @@ class _Scan:
             yield from self._emit(ids, tokens, keep, t, code, w, doc, fields, fields + 1, np.maximum(start[s], fields - AROUND), np.minimum(stop[s], fields + 1 + AROUND))
 
         # Runs of words over the ends of lines, outside quotes.
-        if not index.is_long.any():
-            return
-        least = (index.size * index.run_hold)[index.is_long].min()
-        cq, held = np.concatenate([[0], np.cumsum(quoted)]), np.concatenate([[0], np.cumsum(bag[:, 1])])
+        count = lambda x: np.concatenate([[0], np.cumsum(x)])
+        cq, rare = count(quoted), count(bag[:, 0] & (w >= DISTINCTIVE) & ~self.plain[t])
+        other = count(bag[:, 2])
+        least = min((index.size * index.run_hold)[index.is_long & (index.run_hold == INNER_OF_EXEMPLAR)], default=math.inf)
+        best: dict[tuple, tuple] = {}
         for size in INNER:
             i = np.arange(len(t) - size + 1)
             j = i + size
-            good = (doc[i] == doc[j - 1]) & (cq[j] == cq[i]) & (held[j] - held[i] >= least) & (long_of[j] - long_of[i] >= (LEAST_COVER - 1e-9) * (c[j] - c[i]))
+            need = (LEAST_COVER - 1e-9) * (c[j] - c[i])
+            good = (doc[i] == doc[j - 1]) & (cq[j] == cq[i]) & (rare[j] - rare[i] >= RUN_RARE)
+            good &= (filler_of[j] - filler_of[i] >= need) | (other_of[j] - other_of[i] >= need) & (other[j] - other[i] >= least)
             i, j = i[good], j[good]
-            if len(i):
-                yield from self._emit(ids, tokens, keep, t, code, w, doc, i, j, np.maximum(start[seg[i]], i - AROUND), np.minimum(stop[seg[j - 1]], j + AROUND), run=True)
+            for row in self._emit(ids, tokens, keep, t, code, w, doc, i, j, np.maximum(start[seg[i]], i - AROUND), np.minimum(stop[seg[j - 1]], j + AROUND), run=True):
+                doc_id, passage, place, family, cover = row[:5]
+                if family is None:
+                    yield row
+                elif (key := (doc_id, family)) not in best or (cover, len(passage), -place) > (best[key][4], len(best[key][1]), -best[key][2]):
+                    best[key] = row
+        yield from best.values()
 
     def _emit(self, ids, tokens, keep, t, code, w, doc, lo, hi, around_lo, around_hi, run: bool = False) -> Iterator[tuple]:
-        index = self.index
+        """Rows of CANDIDATE for the windows lo to hi: judged where all weights are exact, to be judged where they are bounds."""
+        index, weight = self.index, self.weight.known
         for b in range(0, len(lo), 2000):
             l, h = lo[b : b + 2000], hi[b : b + 2000]
-            total, held, n = self._held(code, w, t, l, h)
+            total, held = self._held(code, w, t, l, h)
             fits = ~index.is_genuine & (held >= (LEAST_COVER - 1e-9) * total[:, None])
             if run:
-                fits &= index.is_long & (n >= index.run_hold * index.size - 1e-9)
+                fits &= index.is_long
             elif around_lo is None:
                 best = np.where(index.family >= 0, held, 0.0)
-                order = np.argsort(-best, axis=1, kind="stable")[:, :TOGETHER]
                 for r in np.flatnonzero(best.max(axis=1) >= (TOGETHER_BEST - 1e-9) * total).tolist():
-                    fits[r, [e for e in order[r].tolist() if best[r, e] > 0]] = True
-            keep_rows = fits.any(axis=1)
-            if around_lo is None:
-                gen = index.is_genuine & (held >= (GENUINE_COVER - 1e-9) * total[:, None])
-            else:
-                al, ah = around_lo[b : b + 2000], around_hi[b : b + 2000]
-                around_total, around_held, _ = self._held(code, w, t, al, ah)
-                gen = index.is_genuine & (around_held >= (GENUINE_COVER - 1e-9) * around_total[:, None])
-            for r in np.flatnonzero(keep_rows).tolist():
-                x, y = int(l[r]), int(h[r])
-                context = None if around_lo is None else self._bag(t, int(al[r]), int(ah[r]))
-                first, last = (x, y) if run or around_lo is None else (int(al[r]), int(ah[r]))
+                    order = np.argsort(-best[r], kind="stable")[:TOGETHER]
+                    fits[r, order[best[r, order] > 0]] = True
+            al, ah = (l, h) if around_lo is None else (around_lo[b : b + 2000], around_hi[b : b + 2000])
+            for r in np.flatnonzero(fits.any(axis=1)).tolist():
+                x, y, p, q = int(l[r]), int(h[r]), int(al[r]), int(ah[r])
+                words_of, context = self._bag(t, x, y), None if around_lo is None else self._bag(t, p, q)
+                found = np.flatnonzero(fits[r]).tolist()
+                idf = {k: self.weight(k) for k in (context or words_of)}  # the context of a run or field holds its words
+                if verdict(index, idf, words_of, context, found, run, cleared=False)[0] is None:
+                    continue
+                around = (context or words_of).keys()
+                found += [n for n in index.genuine if len(around & index.words[n]) >= LEAST_OF_EXEMPLAR * len(index.words[n])]
+                family = cover = None
+                if sure := all(k in weight for k in idf):
+                    family, cover = verdict(index, idf, words_of, context, found, run)
+                    if family is None:
+                        continue
+                first, last = (x, y) if run or context is None else (p, q)
                 passage = " ".join(" ".join(tokens[keep[first] : keep[last - 1] + 1]).split())
-                yield ids[int(doc[x])], passage, x if run else None, self._bag(t, x, y), context, np.flatnonzero(fits[r] | gen[r]).tolist()
+                rest = (None, None, None) if sure else (sorted(words_of.items()), context and sorted(context.items()), found)
+                yield ids[int(doc[x])], passage, x if run else None, family, cover, *rest
 
     def _held(self, code, w, t, lo, hi):
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         window = np.repeat(np.arange(len(lo)), n)
-        total = np.bincount(window, w[at], len(lo))
-        weight, _ = self.index.held(window, code[at], w[at], len(lo))
-        once = np.unique((window << 32) | t[at], return_index=True)[1]
-        _, distinct = self.index.held(window[once], code[at][once], w[at][once], len(lo))
-        return total, weight, distinct
+        return np.bincount(window, w[at], len(lo)), self.index.held(window, code[at], w[at], len(lo))
 
-    def _bag(self, t, lo: int, hi: int) -> list[tuple[str, int]]:
-        x, n = np.unique(t[lo:hi], return_counts=True)
-        return sorted((self.terms.terms[k], m) for k, m in zip(x.tolist(), n.tolist()))
+    def _bag(self, t, lo: int, hi: int) -> dict[str, int]:
+        bag: dict[str, int] = {}
+        for k in t[lo:hi].tolist():
+            bag[self.terms.terms[k]] = bag.get(self.terms.terms[k], 0) + 1
+        return bag
 
 
 def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> DataFrame:
-    """Rows of CANDIDATE: windows that exemplars may hold; context is null but for runs of words and fields, place but for runs."""
+    """Rows of CANDIDATE: windows that are residue (with family), and those with words whose weight is not known exactly, still to be judged (with terms).
+
+    context is null but for runs of words and fields, place but for runs; of judged runs a chunk gives the best of each document and family.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "passage", "place", "terms", "context", "exemplars"]
+        columns = ["doc_id", "passage", "place", "family", "cover", "terms", "context", "exemplars"]
         s = _Scan(index, weight)
         for batch in batches:
             for ids, tokens in _chunks(batch["doc_id"].tolist(), batch["text"].tolist()):
@@ -378,8 +397,9 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
     counts = cut(term_counts(documents))
     n_docs = documents.count()
     found = cut(candidate_windows(documents, index, Weights(counts, n_docs, index)))  # few windows of the corpus
-    key = ["terms", "context", "exemplars"]
-    distinct = found.select(*key).distinct()
+    todo = found.where("terms is not null").withColumn("run", F.col("place").isNotNull())
+    key = ["terms", "context", "exemplars", "run"]
+    distinct = todo.select(*key).distinct()
     both = F.array_distinct(F.transform(F.concat("terms", F.coalesce("context", F.array().cast(BAG))), lambda x: x["term"]))
     idf = (
         counts.join(distinct.select(F.explode(both).alias("term")).distinct(), "term", "left_semi")
@@ -389,56 +409,64 @@ def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:
         distinct.select(*key, F.explode(both).alias("term")).join(idf, "term")
         .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     )
-    judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars").alias("v")).where("v.family is not null")
+    judged = weighed.select(*key, _judge(index)("idf", "terms", "context", "exemplars", "run").alias("v")).where("v.family is not null")
     same = F.lit(True)
     for k in key:
         same &= F.col(f"f.{k}").eqNullSafe(F.col(f"j.{k}"))
-    hits = cut(found.alias("f").join(judged.alias("j"), same).select("doc_id", "passage", "place", "v.family", "v.cover"))
+    late = todo.alias("f").join(judged.alias("j"), same).select("doc_id", "passage", "place", "v.family", "v.cover")
+    hits = cut(found.where("family is not null").select("doc_id", "passage", "place", "family", "cover").unionByName(late))
     whole = hits.where("place is null").drop("place")
     inner = hits.where("place is not null").groupBy("doc_id", "family").agg(F.max_by(F.struct("passage", "cover"), F.struct("cover", F.length("passage"), -F.col("place"))).alias("b"))
     inner = inner.join(whole.select("doc_id", "family").distinct(), ["doc_id", "family"], "left_anti")
     return whole.unionByName(inner.select("doc_id", "b.passage", "family", "b.cover"))
 
 
-def _judge(index: Index):
-    distinctive = math.log(1 + 1 / DISTINCTIVE_DF)
-
-    def verdict(idf: dict, ws: dict, around: dict | None, found: list[int]) -> tuple:
-        total = sum(idf[t] * n for t, n in ws.items()) or math.inf
-        weigh = lambda held: sum(idf[t] * ws[t] for t in held)
-        best, family, genuine, some = 0.0, None, 0.0, []
-        for n in found:
-            label = index.label[n]
-            if label == "genuine":
-                c = ws if around is None else around
-                held = c.keys() & index.words[n]
-                if len(held) >= LEAST_OF_EXEMPLAR * len(index.words[n]):
-                    genuine = max(genuine, sum(idf[t] * c[t] for t in held) / (sum(idf[t] * k for t, k in c.items()) or math.inf))
-                continue
-            held = ws.keys() & index.words[n]
-            cover, hold = weigh(held) / total, len(held) / len(index.words[n])
-            some.append((cover, held, label))
-            rare = around is None and len(held) >= DISTINCTIVE_WORDS and min(idf[t] for t in held) >= distinctive
-            if around is not None:
-                enough = hold >= index.run_hold[n] or label == "field"
-            else:
-                enough = rare or hold >= (0.25 if label == "filler" else LEAST_OF_EXEMPLAR)
-            if cover >= LEAST_COVER and enough and len(held) >= min(2, len(index.words[n])) and cover > best:
-                best, family = cover, label
-        if around is None and family is None:
-            top = sorted(some, key=lambda x: -x[0])[:TOGETHER]
-            held = set().union(*(h for _, h, _ in top))
-            cover = weigh(held) / total
-            several = len(held) >= TOGETHER_WORDS and sum(idf[t] >= distinctive for t in held - PLAIN_WORDS) >= TOGETHER_RARE
-            if several and top[0][0] >= TOGETHER_BEST and cover >= TOGETHER_COVER:
-                best, family = cover, top[0][2]
-        if around is not None and genuine >= GENUINE_COVER:
-            family = None
-        return (family, best) if family and (around is not None or best > genuine) else (None, None)
+DISTINCTIVE = math.log(1 + 1 / DISTINCTIVE_DF)
+
 
+def verdict(index: Index, idf, ws: dict[str, int], around: dict[str, int] | None, found: list[int], run: bool, cleared: bool = True) -> tuple:
+    """(family, cover) of a window of words and their numbers, (None, None) if it is no residue; around are the words around a run or field.
+
+    Genuine exemplars don't count if not cleared; with the least that weights can be, cover is then the most that it can be.
+    """
+    total = sum(idf[t] * n for t, n in ws.items()) or math.inf
+    weigh = lambda held: sum(idf[t] * ws[t] for t in held)
+    rare_in = lambda held: sum(idf[t] >= DISTINCTIVE for t in held if t not in PLAIN_WORDS)
+    best, family, genuine, some = 0.0, None, 0.0, []
+    for n in found:
+        label, own = index.label[n], index.words[n]
+        if label == "genuine":
+            c = ws if around is None else around
+            held = c.keys() & own
+            if len(held) >= LEAST_OF_EXEMPLAR * len(own):
+                genuine = max(genuine, sum(idf[t] * c[t] for t in held) / (sum(idf[t] * k for t, k in c.items()) or math.inf))
+            continue
+        held = ws.keys() & own
+        cover, hold = weigh(held) / total, len(held) / len(own)
+        some.append((cover, held, label))
+        if run:
+            enough = hold >= index.run_hold[n] and rare_in(held) >= RUN_RARE
+        elif label == "field":
+            enough = True
+        else:
+            enough = hold >= (0.25 if label == "filler" else LEAST_OF_EXEMPLAR) or (len(held) >= DISTINCTIVE_WORDS and min(idf[t] for t in held) >= DISTINCTIVE)
+        if cover >= LEAST_COVER and enough and len(held) >= min(2, len(own)) and cover > best:
+            best, family = cover, label
+    if around is None and family is None and some:
+        top = sorted(some, key=lambda x: -x[0])[:TOGETHER]
+        held = set().union(*(h for _, h, _ in top))
+        cover = weigh(held) / total
+        if len(held) >= TOGETHER_WORDS and rare_in(held) >= TOGETHER_RARE and top[0][0] >= TOGETHER_BEST and cover >= TOGETHER_COVER:
+            best, family = cover, top[0][2]
+    if cleared and around is not None and genuine >= GENUINE_COVER:
+        family = None
+    return (family, best) if family and (not cleared or around is not None or best > genuine) else (None, None)
+
+
+def _judge(index: Index):
     @F.pandas_udf(VERDICT)
-    def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series) -> pd.DataFrame:
+    def judge(idf: pd.Series, terms: pd.Series, context: pd.Series, exemplars: pd.Series, run: pd.Series) -> pd.DataFrame:
         bag = lambda x: None if x is None else {e["term"]: e["n"] for e in x}
-        return pd.DataFrame([verdict(dict(i), bag(t), bag(c), list(e)) for i, t, c, e in zip(idf, terms, context, exemplars)], columns=["family", "cover"])
+        return pd.DataFrame([verdict(index, dict(i), bag(t), bag(c), list(e), r) for i, t, c, e, r in zip(idf, terms, context, exemplars, run)], columns=["family", "cover"])
 
     return judge

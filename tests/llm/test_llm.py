@@ -266,7 +266,7 @@ def test_fields_are_looked_up(spark):
     assert residue.find_residue(df, index).count() == 0
 
 
-HELD_OUT = [(held_out.TUNED, held_out.GENUINE, 0.85, 1), (held_out.FRESH, held_out.FRESH_GENUINE, 0.85, 0), (held_out.LAST, held_out.LAST_GENUINE, 0.75, 0)]
+HELD_OUT = [(held_out.TUNED, held_out.GENUINE, 0.85, 1), (held_out.FRESH, held_out.FRESH_GENUINE, 0.85, 1), (held_out.LAST, held_out.LAST_GENUINE, 0.75, 0)]
 
 
 def test_residue_in_new_wordings(spark):
