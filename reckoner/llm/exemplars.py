@@ -70,11 +70,11 @@ SEEN = {
         "The requested page could not be located on this server.", "The upstream did not answer in time.", "Repository access blocked.", "Contact the owner of this content.", "Your account has no seat in this space.", "unusual traffic from your network", "Read more... (login required to load the rest)",
         "This takes about five seconds.", "The upstream closed the connection.", "The backend gave no answer.", "Check your connection.", "Your address is limited for the next 9 seconds.", "Die angeforderte Adresse existiert nicht (mehr).", "服务器繁忙,请稍后再试。", "请返回首页。", "content unavailable: request timed out",
         "Access to this page has been denied because we believe you are using automation tools.", "you lack permission to open this page thread document report artifact file wiki entry", "ask the owner of this page thread document report artifact file wiki entry for access",
-        "Error Code NoSuchKey Message The key is not there.", "Error: failed to load the rest of this page.", "handler", "We could not load this document.", "Reload in 9 seconds.", "Our servers are busy right now.", "We are down for maintenance and will be back shortly.", "Something broke on our side.", "The report you asked for is not here.", "We could not load this artifact.", "The document you asked for was deleted, has moved or never existed.",
+        "Error Code NoSuchKey Message The key is not there.", "Error: failed to load the rest of this page.", "handler", "We could not load this document.", "Reload in 9 seconds.", "Our servers are busy right now.", "We are down for maintenance and will be back shortly.", "Something broke on our side.", "The report you asked for is not here.", "We could not load this artifact.", "We could not load this thread.", "The artifact you asked for was deleted.", "The artifact you asked for could not be located.", "The thread you asked for was deleted.", "The thread you asked for could not be located.", "The thread you asked for is not here.", "The document you asked for was deleted, has moved or never existed.",
     ],
     "scripts": [
         "You need to allow scripts in order to view this thread.", "This site works only with scripts turned on.", "Check the settings of your browser and reload.", "Some parts of this page will not load.", "Loading... if nothing appears, turn on JS and cookies.", "You have scripts switched off, so there is nothing to show.",
-        "Our wiki needs client-side scripting.", "The log console relies on scripts.", "The diff view does not run without scripts.", "Activate scripts for this site.", "Switch on scripts and reload.", "Allow scripts and reload.", "This viewer needs scripts.", "Enable scripts or use another browser.", "Turn on scripts in your settings to go on.",
+        "Our wiki needs client-side scripting.", "The log console relies on scripts.", "The diff view does not run without scripts.", "Activate scripts for this site.", "Switch on scripts and reload.", "Allow scripts and reload.", "This viewer needs scripts.", "This app does not run without scripts.", "Enable scripts or use another browser.", "Turn on scripts in your settings to go on.",
         "Heads up: without scripts, nothing will load here.", "Note: without scripts, this page stays empty.", "Sorry, without scripts, we cannot show the content.", "您的浏览器不支持脚本,无法显示内容。", "请启用 JavaScript 后刷新页面。",
     ],
 }
