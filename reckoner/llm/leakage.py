@@ -1,14 +1,16 @@
 """Evaluation texts that leaked into training text, by suffix arrays over shards of the training text.
 
-Documents and items are brought into one plain form. Each task turns its shard of documents (an Arrow batch) into a
-sorted array of suffixes, binary-searches every suffix of every item in it, and so gets all verbatim matches with
-their places. A match is then extended on both sides over a bounded number of changed, dropped or added words
-until it holds LEAST words of the item in a row with at most one in ten edited. Items in Chinese are matched by
-character. The opening sentence that several items share is cut off the items first.
+Documents and items are brought into one plain form. Each shard of documents becomes a sorted array of suffixes, in which every suffix of
+every item is binary-searched; that gives all verbatim matches with their places. A match is then extended on both sides over changed, dropped or
+added words; it is a leak if LEAST words of the item stand in a row with at most one in ten edited. Of the best match of a document and an item the
+passage is followed as far as that share allows. Items in Chinese are matched by character. The opening sentence that several items share is cut off first.
 
-Seeds of SEED words lose nothing: LEAST words with a tenth edited always hold an unedited run of that length.
-Suffixes that can't start such a run (a word within SEED that no item has) are left out of the array.
-Items are taken to the workers in blocks of at most MAX_ITEMS; documents never leave their tasks.
+Seeds of SEED words lose nothing: LEAST words with a tenth edited always hold an unedited run of that length. Suffixes that can't start such a run
+(two words within it that follow each other in no item) are left out of the array.
+
+The corpus is read once. Items of up to MAX_ITEM_CHARS characters in all are counted first and then broadcast, so documents never leave their tasks.
+Larger sets of items never meet the driver: they are cut into blocks of that size and documents into shards of SHARD_CHARS by hash, and each pair of
+shard and block is one group of a co-grouped shuffle. Frequent seeds need no shuffle of their own in either way.
 
 Null and empty texts match nothing; items shorter than LEAST can't leak; repeated documents each get their rows;
 texts of any length are scanned whole. Empty tables give empty results; extra columns are ignored.
@@ -23,16 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-from .plaintext import plain
+from ..session import cut, spread
+from .plaintext import plain, plain_text
 
 WORDS, CHARS = "words", "chars"
 LEAST = {WORDS: 20, CHARS: 40}
 SEED = {WORDS: 6, CHARS: 8}
 DEPTH = 16  # tokens by which suffixes are sorted; longer matches are followed in the text
-MAX_ITEMS = 20_000
-SHARD_TOKENS = 2_000_000
+MAX_ITEM_CHARS = 32_000_000
+SHARD_CHARS = 32_000_000
+SHARD_TOKENS = 2_000_000  # tokens of one suffix array within a task
+HITS = 500_000  # matches that are looked at together
 SCHEMA = "doc_id long, item_id long, verbatim int, span int, edits int, place long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 SENTENCE_END = r"^(.*?(?:[。？！]+|[.?!]+(?=\s|$)))"
 
 
@@ -45,33 +50,73 @@ def without_shared_openings(items: DataFrame) -> DataFrame:
     return t.join(shared, "opening", "left").select("item_id", "unit", F.when(F.col("shared") & (rest != ""), rest).otherwise(F.col("text")).alias("text")).where("text <> ''")
 
 
-def _tokens(text: str, unit: str) -> list[str]:
-    return text.split() if unit == WORDS else list(text.replace(" ", ""))
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.replace(" ", "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 class _Items:
-    """The items of one unit as coded tokens, and the sorted keys of their suffixes."""
+    """The items of one unit as codes (from 1; 0 parts them), one after the other, and the sorted keys of their suffixes."""
 
     def __init__(self, rows: list[tuple[int, str]], unit: str):
         self.unit, self.least, self.seed = unit, LEAST[unit], SEED[unit]
-        tokens = [(i, _tokens(t, unit)) for i, t in rows]
-        tokens = [(i, t) for i, t in tokens if len(t) >= self.least]
-        self.code = {w: n for n, w in enumerate(sorted({w for _, t in tokens for w in t}), 1)}
-        self.ids = [i for i, _ in tokens]
+        self.code: dict[str, int] = {}
+        if unit == WORDS:
+            number = self.code
+            each = [(i, [number.setdefault(w, len(number) + 1) for w in t.split()]) for i, t in rows if t.count(" ") + 1 >= self.least]
+        else:
+            each = [(i, c) for i, c in ((i, _chars(t)) for i, t in rows) if len(c) >= self.least]
+        self.ids = np.array([i for i, _ in each], dtype=np.int64)
+        length = np.array([len(c) for _, c in each], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(length + 1)]).astype(np.int64)
+        self.text = np.zeros(self.start[-1] + DEPTH, dtype=np.uint32)
+        for s, (_, c) in zip(self.start.tolist(), each):
+            self.text[s : s + len(c)] = c
+        if unit == CHARS and len(each):
+            seen = np.unique(self.text[self.text > 0])
+            self.table = np.zeros(int(seen.max()) + 1, dtype=np.uint32)
+            self.table[seen] = np.arange(1, len(seen) + 1)
+            self.text = self.table[self.text]
         # Texts in ASCII alone may be passed over if each passage has more other characters than may be edited.
-        other = [np.cumsum([0] + [not w.isascii() for w in t]) for _, t in tokens]
-        self.beyond_ascii = all((o[self.least :] - o[: -self.least]).min() > self.least // 10 for o in other)
-        self.text = [[self.code[w] for w in t] for _, t in tokens]
-        self.item = np.array([k for k, t in enumerate(self.text) for _ in range(len(t) - self.seed + 1)], dtype=np.int64)
-        self.pos = np.array([a for t in self.text for a in range(len(t) - self.seed + 1)], dtype=np.int64)
-        heads = np.array([t[a : a + self.seed] for t in self.text for a in range(len(t) - self.seed + 1)], dtype=">u4").reshape(-1, self.seed)
-        pad = np.zeros((len(heads), DEPTH - self.seed), dtype=">u4")
-        self.low = _keys(np.hstack([heads, pad]))
-        self.high = _keys(np.hstack([heads, pad + np.uint32(0xFFFFFFFF)]))
+        self.beyond_ascii = unit == CHARS and all(
+            (o[self.least :] - o[: -self.least]).min() > self.least // 10 for o in (np.cumsum(np.concatenate([[0], c > 127])) for _, c in each)
+        )
+        self.follows = np.unique(_pairs(self.text))
+        self.pos = _starts(self.text, self.seed)
+        heads = self.text[self.pos[:, None] + np.arange(self.seed)[None, :]]
+        pad = np.zeros((len(heads), DEPTH - self.seed), dtype=np.uint32)
+        self.low, self.high = _keys(np.hstack([heads, pad])), _keys(np.hstack([heads, pad + np.uint32(0xFFFFFFFF)]))
+
+    def codes(self, text: str) -> np.ndarray:
+        """A document's tokens as codes, 0 for what no item has."""
+        if self.unit == WORDS:
+            get = self.code.get
+            return np.array([get(w, 0) for w in text.split()], dtype=np.uint32)
+        c = _chars(text)
+        return self.table[np.where(c < len(self.table), c, 0)]
+
+
+def _pairs(text: np.ndarray) -> np.ndarray:
+    """Each two codes that follow each other as one number; 0 where one of them is 0."""
+    a, b = text[:-1].astype(np.uint64), text[1:].astype(np.uint64)
+    return np.where((a > 0) & (b > 0), (a << np.uint64(32)) | b, np.uint64(0))
+
+
+def _starts(text: np.ndarray, seed: int, follows: np.ndarray | None = None) -> np.ndarray:
+    """Places where `seed` codes above 0 begin, each two of which stand in `follows` (sorted)."""
+    if len(text) < seed:
+        return np.empty(0, dtype=np.int64)
+    pairs = _pairs(text)
+    good = pairs > 0
+    if follows is not None:
+        some = np.flatnonzero(good)
+        at = np.minimum(np.searchsorted(follows, pairs[some]), len(follows) - 1)
+        good[some[follows[at] != pairs[some]]] = False
+    run = np.concatenate([[0], np.cumsum(good)])
+    return np.flatnonzero(run[seed - 1 :] - run[: len(run) - seed + 1] == seed - 1)
 
 
 def _keys(codes: np.ndarray) -> np.ndarray:
-    """Rows of big-endian codes as byte strings, which sort as the rows do."""
+    """Rows of codes as byte strings, which sort as the rows do."""
     if not len(codes):
         return np.empty(0, dtype=f"S{4 * DEPTH + 1}")
     # A final byte keeps numpy from cutting trailing zeros, so equal keys stay equal.
@@ -80,14 +125,11 @@ def _keys(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw).view(f"S{raw.shape[1]}").ravel()
 
 
-def suffix_array(text: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places), sorted: the suffixes of text whose first `seed` codes are all above 0, by their first DEPTH codes."""
-    known = np.concatenate([[0], np.cumsum(text > 0)])
-    if len(text) < seed:
-        return np.empty(0, dtype=f"S{4 * DEPTH + 1}"), np.empty(0, dtype=np.int64)
-    start = np.flatnonzero(known[seed:] - known[:-seed] == seed)
+def suffix_array(text: np.ndarray, seed: int, follows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places), sorted by the first DEPTH codes: the suffixes of text that begin with `seed` codes above 0, each two of which are in `follows`."""
+    start = _starts(text, seed, follows)
     padded = np.concatenate([text, np.zeros(DEPTH, text.dtype)])
-    keys = _keys(padded[start[:, None] + np.arange(DEPTH)[None, :]]) if len(start) else np.empty(0, dtype=f"S{4 * DEPTH + 1}")
+    keys = _keys(padded[start[:, None] + np.arange(DEPTH)[None, :]])
     order = np.argsort(keys, kind="stable")
     return keys[order], start[order]
 
@@ -111,97 +153,122 @@ def reach(x: list[int], y: list[int], most: int) -> list[int]:
                     nxt[e] = max(nxt.get(e, -1), k)
         at = {d: slide(i, d) for d, i in nxt.items()}
         out.append(max([out[-1], *at.values()]))
+        if out[-1] == n:
+            break
     return out
 
 
-def _extend(item: list[int], a: int, text: list[int], p: int, n: int, least: int) -> tuple[int, int] | None:
-    """(span, edits) of a passage of at least `least` tokens around the match of n tokens at a and p, with a tenth edited."""
-    most, far = least // 10 + 2, 2 * least + 10
+def extend(item: list[int], a: int, text: list[int], p: int, n: int, least: int, most: int, far: int) -> tuple[int, int] | None:
+    """(span, edits) of the longest passage of at least `least` tokens around the match of n tokens at a and p, with a tenth edited.
+
+    At most `most` edits and `far` tokens are looked at on either side.
+    """
     right = reach(item[a + n : a + n + far], text[p + n : p + n + far + most], most)
     left = reach(item[max(0, a - far) : a][::-1], text[max(0, p - far - most) : p][::-1], most)
     found = [(n + le + ri, i + j) for i, le in enumerate(left) for j, ri in enumerate(right) if n + le + ri >= max(least, 10 * (i + j))]
     return max(found, key=lambda f: (f[0] - f[1], -f[1])) if found else None
 
 
-def _search(ids: np.ndarray, codes: list[np.ndarray], items: _Items) -> Iterator[tuple]:
+def _search(ids: list[int], codes: list[np.ndarray], items: _Items) -> Iterator[tuple]:
     """Rows of SCHEMA for the documents of one shard."""
-    lengths = np.array([len(c) + 1 for c in codes])
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    text = np.zeros(starts[-1] + 1, dtype=np.uint32)
-    for s, c in zip(starts, codes):
+    starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in codes])]).astype(np.int64)
+    text = np.zeros(starts[-1] + DEPTH, dtype=np.uint32)
+    for s, c in zip(starts.tolist(), codes):
         text[s : s + len(c)] = c
-    keys, places = suffix_array(text, items.seed)
-    if not len(keys) or not len(items.low):
+    keys, places = suffix_array(text, items.seed, items.follows)
+    if not len(keys):
         return
     lo, hi = np.searchsorted(keys, items.low, "left"), np.searchsorted(keys, items.high, "right")
-    hits = np.flatnonzero(hi > lo)
-    n = (hi - lo)[hits]
-    suffix = np.repeat(hits, n)
-    place = places[np.repeat(lo[hits], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    doc = np.searchsorted(starts, place, "right") - 1
+    some = np.flatnonzero(hi > lo)
+    total = np.concatenate([[0], np.cumsum((hi - lo)[some])])
     best: dict[tuple[int, int], tuple] = {}
     done: dict[tuple, tuple[int, int] | None] = {}
-    for s, p, d in zip(suffix.tolist(), place.tolist(), doc.tolist()):
-        k, a = int(items.item[s]), int(items.pos[s])
-        item = items.text[k]
-        if a and p > starts[d] and text[p - 1] == item[a - 1]:
-            continue  # a longer match starts further left
-        begin, end = int(starts[d]), int(starts[d + 1]) - 1
+    first = 0
+    while first < len(some):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + HITS, "right")) - 1)
+        part = some[first:last]
+        n = (hi - lo)[part]
+        at = items.pos[np.repeat(part, n)]
+        place = places[np.repeat(lo[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        # A match that a longer one to its left holds is looked at there.
+        inner = (at > 0) & (place > 0) & (items.text[at - 1] == text[place - 1]) & (text[place - 1] > 0)
+        at, place = at[~inner], place[~inner]
+        doc, item = np.searchsorted(starts, place, "right") - 1, np.searchsorted(items.start, at, "right") - 1
+        _follow(text, starts, items, at, place, doc, item, best, done)
+        first = last
+    for (d, k), (verbatim, _, _, place, at) in best.items():
+        begin, end, s, e = int(starts[d]), int(starts[d + 1]) - 1, int(items.start[k]), int(items.start[k + 1]) - 1
+        most = (e - s) // 10 + 1
+        near = max(begin, place - (at - s) - most)
+        whole = items.text[s:e].tolist()
+        span, edits = extend(whole, at - s, text[near : min(end, place + (e - at) + most)].tolist(), place - near, verbatim, items.least, most, e - s)
+        yield int(ids[d]), int(items.ids[k]), verbatim, span, edits, place - begin
+
+
+def _follow(text, starts, items: _Items, at, place, doc, item, best: dict, done: dict) -> None:
+    """Keep for each document and item the longest verbatim match that stands in a passage long enough."""
+    least = items.least
+    most, far = least // 10 + 2, 2 * least + 10
+    for a, p, d, k in zip(at.tolist(), place.tolist(), doc.tolist(), item.tolist()):
+        begin, end, s, e = int(starts[d]), int(starts[d + 1]) - 1, int(items.start[k]), int(items.start[k + 1]) - 1
         length = items.seed
-        while a + length < len(item) and p + length < end and text[p + length] == item[a + length]:
+        while a + length < e and p + length < end and text[p + length] == items.text[a + length]:
             length += 1
-        margin = 3 * items.least
-        near = text[max(begin, p - margin) : min(end, p + length + margin)].tolist()
-        at = p - max(begin, p - margin)
-        known = (k, a, at, tuple(near))
+        if (d, k) in best and best[d, k][0] >= length:
+            continue
+        near = text[max(begin, p - far - most) : min(end, p + length + far + most)].tolist()
+        before = p - max(begin, p - far - most)
+        known = (k, a, before, tuple(near))
         if known not in done:
-            done[known] = _extend(item, a, near, at, length, items.least)
+            done[known] = extend(items.text[s:e].tolist(), a - s, near, before, length, least, most, far)
         if done[known]:
-            row = (length, *done[known], p - begin)
-            best[(d, k)] = max(best.get((d, k), row), row)
-    for (d, k), (verbatim, span, edits, where) in best.items():
-        yield int(ids[d]), items.ids[k], verbatim, span, edits, where
+            best[d, k] = (length, *done[known], p, a)
+
+
+def _rows(ids: list, texts: list, units: list[_Items]) -> Iterator[tuple]:
+    """Rows of SCHEMA for documents; about SHARD_TOKENS tokens at a time become one suffix array."""
+    plains = [(i, plain_text(t)) for i, t in zip(ids, texts) if t]
+    for items in units:
+        own, codes, held = [], [], 0
+        for doc_id, text in plains if len(items.ids) else ():
+            if items.beyond_ascii and text.isascii():
+                continue
+            c = items.codes(text)
+            if len(c) < items.seed:
+                continue
+            own.append(doc_id)
+            codes.append(c)
+            held += len(c)
+            if held > SHARD_TOKENS:
+                yield from _search(own, codes, items)
+                own, codes, held = [], [], 0
+        if own:
+            yield from _search(own, codes, items)
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """One row per document and leaked item: the longest verbatim match, its passage and its place in the document."""
-    items = without_shared_openings(eval_items)
-    docs = spread(documents.select("doc_id", "text")).select("doc_id", plain(F.col("text")).alias("text")).where("text <> ''")
-    n = eval_items.count()
-    blocks = max(1, -(-n // MAX_ITEMS))
-    parts = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        units = [_Items([(r.item_id, r.text) for r in rows if r.unit == u], u) for u in (WORDS, CHARS)]
-        parts.append(docs.mapInPandas(_scanner(units), SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _scanner(units: list[_Items]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
-            rows: list[tuple] = []
-            for items in units:
-                if not items.ids:
-                    continue
-                ids, codes, held = [], [], 0
-                get = items.code.get
-                for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                    if items.beyond_ascii and text.isascii():
-                        continue
-                    c = np.array([get(w, 0) for w in _tokens(text, items.unit)], dtype=np.uint32)
-                    ids.append(doc_id)
-                    codes.append(c)
-                    held += len(c)
-                    if held > SHARD_TOKENS:
-                        rows += _search(np.array(ids), codes, items)
-                        ids, codes, held = [], [], 0
-                if ids:
-                    rows += _search(np.array(ids), codes, items)
-            yield pd.DataFrame(rows, columns=columns)
-
-    return scan
+    """One row per document and leaked item: the longest verbatim match that is part of a leak, its passage and its place in the document."""
+    spark = documents.sparkSession
+    items = cut(without_shared_openings(eval_items))  # read twice: to be counted and to be taken
+    docs = documents.select("doc_id", "text").where("text <> ''")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars <= MAX_ITEM_CHARS:
+        rows = items.collect()  # at most MAX_ITEM_CHARS characters
+        held = spark.sparkContext.broadcast([_Items([(r.item_id, r.text) for r in rows if r.unit == u], u) for u in (WORDS, CHARS)])
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame(list(_rows(batch["doc_id"].tolist(), batch["text"].tolist(), held.value)), columns=COLUMNS)
+
+        return spread(docs).mapInPandas(scan, SCHEMA)
+
+    def search(docs: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        units = [_Items([(i, t) for i, t, x in zip(items["item_id"].tolist(), items["text"], items["unit"]) if x == u], u) for u in (WORDS, CHARS)]
+        return pd.DataFrame(list(_rows(docs["doc_id"].tolist(), docs["text"].tolist(), units)), columns=COLUMNS)
+
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shards, blocks = size // SHARD_CHARS + 1, chars // MAX_ITEM_CHARS + 1
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    d = docs.withColumn("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).withColumn("_block", numbers(blocks))
+    i = items.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).withColumn("_shard", numbers(shards))
+    return d.groupBy("_shard", "_block").cogroup(i.groupBy("_shard", "_block")).applyInPandas(search, SCHEMA)

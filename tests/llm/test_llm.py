@@ -159,7 +159,7 @@ def brute_leak(item, doc, least):
     return False
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)]
     items = [[rng.choice(words) for _ in range(45)] for _ in range(5)]
@@ -178,8 +178,34 @@ def test_leaks_equal_brute_force(spark):
     ev = spark.createDataFrame([(k, "s", "en", " ".join(t)) for k, t in enumerate(items)], "item_id long, suite string, lang string, text string")
     dd = spark.createDataFrame([(d, " ".join(t), "clash") for d, t in enumerate(docs)], "doc_id long, text string, item_id string")
     got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(dd, ev).collect()}
-    assert got <= want and len(want - got) <= 1 and len(want) > 15
-    assert got == want
+    assert got == want and len(want) > 15
+    one_way = sorted(map(tuple, leakage.find_leaks(dd, ev).collect()))
+    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 300)  # items in blocks, documents in shards, nothing on the driver
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 2000)
+    assert sorted(map(tuple, leakage.find_leaks(dd, ev).collect())) == one_way
+    assert leakage.find_leaks(dd.limit(0), ev).count() == 0
+
+
+def test_passages_are_followed_to_their_end(spark):
+    """400 words of an item with 16 of them changed; the passage is all of it. Common openings of six words cost no more than they must."""
+    item = [f"w{i}" for i in range(400)]
+    edited = [("zz" if i % 25 == 12 else w) for i, w in enumerate(item)]
+    docs = [(1, " ".join(edited)), (2, "a b c d e f " * 3000)]
+    ev = [(7, "en", " ".join(item)), (8, "en", "a b c d e f " + " ".join(f"x{i}" for i in range(30)))]
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ev, "item_id long, lang string, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.span, r.edits) for r in got] == [(1, 7, 400, 16)]
+
+
+def test_a_hundred_thousand_items_in_one_pass(spark):
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("item_id", "k"), F.lit(50_000)).cast("string"))
+    ev = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit("en").alias("lang"), F.explode(F.sequence(F.lit(1), F.lit(24))).alias("k")).groupBy("item_id", "lang").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("w")))), lambda x: x["w"]), " ").alias("text")
+    )
+    some = ev.where("item_id % 1000 = 7").cache()
+    docs = some.select((F.col("item_id") * 10).alias("doc_id"), F.concat(F.lit("before it "), "text", F.lit(" and after")).alias("text"))
+    out = leakage.find_leaks(docs, ev)
+    assert out._jdf.queryExecution().toString().count("MapInPandas") > 0
+    assert {(r.doc_id, r.item_id, r.span) for r in out.collect()} == {(r.item_id * 10, r.item_id, 24) for r in some.collect()}
 
 
 def test_leak_edge_cases(spark):
