@@ -35,7 +35,7 @@ DEPTH = 16  # tokens by which suffixes are sorted; longer matches are followed i
 MAX_ITEM_CHARS = 32_000_000
 SHARD_CHARS = 32_000_000
 SHARD_TOKENS = 2_000_000  # tokens of one suffix array within a task
-HITS = 500_000  # matches that are looked at together
+HITS = 20_000  # matches that are looked at together
 SCHEMA = "doc_id long, item_id long, verbatim int, span int, edits int, place long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 SENTENCE_END = r"^(.*?(?:[。？！]+|[.?!]+(?=\s|$)))"
@@ -129,9 +129,12 @@ def suffix_array(text: np.ndarray, seed: int, follows: np.ndarray | None = None)
     """(keys, places), sorted by the first DEPTH codes: the suffixes of text that begin with `seed` codes above 0, each two of which are in `follows`."""
     start = _starts(text, seed, follows)
     padded = np.concatenate([text, np.zeros(DEPTH, text.dtype)])
-    keys = _keys(padded[start[:, None] + np.arange(DEPTH)[None, :]])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], start[order]
+    head = padded[start[:, None] + np.arange(DEPTH)[None, :]].astype(np.uint64)
+    # Several codes in one number sort faster than byte strings.
+    each = 4 if not len(text) or text.max() < 1 << 16 else 2
+    columns = [sum(head[:, c + j] << np.uint64(64 // each * (each - 1 - j)) for j in range(each)) for c in range(0, DEPTH, each)]
+    order = np.lexsort(columns[::-1])
+    return _keys(head[order]), start[order]
 
 
 def reach(x: list[int], y: list[int], most: int) -> list[int]:
@@ -182,7 +185,6 @@ def _search(ids: list[int], codes: list[np.ndarray], items: _Items) -> Iterator[
     some = np.flatnonzero(hi > lo)
     total = np.concatenate([[0], np.cumsum((hi - lo)[some])])
     best: dict[tuple[int, int], tuple] = {}
-    done: dict[tuple, tuple[int, int] | None] = {}
     first = 0
     while first < len(some):
         last = max(first + 1, int(np.searchsorted(total, total[first] + HITS, "right")) - 1)
@@ -194,9 +196,15 @@ def _search(ids: list[int], codes: list[np.ndarray], items: _Items) -> Iterator[
         inner = (at > 0) & (place > 0) & (items.text[at - 1] == text[place - 1]) & (text[place - 1] > 0)
         at, place = at[~inner], place[~inner]
         doc, item = np.searchsorted(starts, place, "right") - 1, np.searchsorted(items.start, at, "right") - 1
-        _follow(text, starts, items, at, place, doc, item, best, done)
+        ok = _passes(text, starts, items, at, place, doc, item)
+        for a, p, d, k in zip(at[ok].tolist(), place[ok].tolist(), doc[ok].tolist(), item[ok].tolist()):
+            length, end, e = items.seed, int(starts[d + 1]) - 1, int(items.start[k + 1]) - 1
+            while a + length < e and p + length < end and text[p + length] == items.text[a + length]:
+                length += 1
+            if length > best.get((d, k), (0,))[0]:
+                best[d, k] = (length, p, a)
         first = last
-    for (d, k), (verbatim, _, _, place, at) in best.items():
+    for (d, k), (verbatim, place, at) in best.items():
         begin, end, s, e = int(starts[d]), int(starts[d + 1]) - 1, int(items.start[k]), int(items.start[k + 1]) - 1
         most = (e - s) // 10 + 1
         near = max(begin, place - (at - s) - most)
@@ -205,24 +213,49 @@ def _search(ids: list[int], codes: list[np.ndarray], items: _Items) -> Iterator[
         yield int(ids[d]), int(items.ids[k]), verbatim, span, edits, place - begin
 
 
-def _follow(text, starts, items: _Items, at, place, doc, item, best: dict, done: dict) -> None:
-    """Keep for each document and item the longest verbatim match that stands in a passage long enough."""
-    least = items.least
-    most, far = least // 10 + 2, 2 * least + 10
-    for a, p, d, k in zip(at.tolist(), place.tolist(), doc.tolist(), item.tolist()):
-        begin, end, s, e = int(starts[d]), int(starts[d + 1]) - 1, int(items.start[k]), int(items.start[k + 1]) - 1
-        length = items.seed
-        while a + length < e and p + length < end and text[p + length] == items.text[a + length]:
-            length += 1
-        if (d, k) in best and best[d, k][0] >= length:
-            continue
-        near = text[max(begin, p - far - most) : min(end, p + length + far + most)].tolist()
-        before = p - max(begin, p - far - most)
-        known = (k, a, before, tuple(near))
-        if known not in done:
-            done[known] = extend(items.text[s:e].tolist(), a - s, near, before, length, least, most, far)
-        if done[known]:
-            best[d, k] = (length, *done[known], p, a)
+def reach_many(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """reach() of many rows at once: x holds tokens of items, y those of texts from `most` places earlier on; tokens that are none differ in x and y."""
+    rows, n = x.shape
+    wide = 2 * most + 1
+    same = x[:, None, :] == np.lib.stride_tricks.sliding_window_view(y, n, axis=1)[:, :wide, :]
+    stop = np.full((rows, wide, n + 1), n, dtype=np.int16)
+    stop[:, :, :n] = np.where(same, np.int16(n), np.arange(n, dtype=np.int16))
+    stop = np.minimum.accumulate(stop[:, :, ::-1], axis=2)[:, :, ::-1]  # where the run of equal tokens from each place on ends
+    at = np.full((rows, wide), -1, dtype=np.int64)
+    at[:, most] = stop[:, most, 0]
+    out = [at[:, most].copy()]
+    for _ in range(most):
+        gone = np.full((rows, 1), -1, dtype=np.int64)
+        step = np.where(at >= 0, at + 1, -1)
+        nxt = np.maximum(np.maximum(step, np.hstack([step[:, 1:], gone])), np.hstack([gone, at[:, :-1]]))  # changed, dropped, added
+        nxt = np.minimum(nxt, n)
+        slid = np.take_along_axis(stop, np.maximum(nxt, 0)[:, :, None], axis=2)[:, :, 0]
+        at = np.where(nxt >= 0, slid, -1)
+        out.append(np.maximum(out[-1], at.max(axis=1)))
+    return np.stack(out, axis=1)
+
+
+def _passes(text: np.ndarray, starts: np.ndarray, items: _Items, at: np.ndarray, place: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether `least` tokens of the item in a row, the match among them, stand in the document with at most a tenth edited.
+
+    A passage with a tenth edited always holds such a stretch, and a match in it, so no more need be looked at to find all leaks.
+    """
+    least, most, seed = items.least, items.least // 10, items.seed
+    other, none = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
+
+    def take(codes: np.ndarray, i: np.ndarray, low: np.ndarray, high: np.ndarray, pad: np.uint32) -> np.ndarray:
+        return np.where((i >= low[:, None]) & (i < high[:, None]), codes[np.clip(i, 0, len(codes) - 1)], pad)
+
+    d_lo, d_hi, i_lo, i_hi = starts[doc], starts[doc + 1] - 1, items.start[item], items.start[item + 1] - 1
+    n, m = np.arange(least - seed)[None, :], np.arange(-most, least - seed + most)[None, :]
+    room_right, room_left = (i_hi - at - seed)[:, None], (at - i_lo)[:, None]
+    right = np.minimum(reach_many(take(items.text, at[:, None] + seed + n, i_lo, i_hi, none), take(text, place[:, None] + seed + m, d_lo, d_hi, other), most), room_right)
+    left = np.minimum(reach_many(take(items.text, at[:, None] - 1 - n, i_lo, i_hi, none), take(text, place[:, None] - 1 - m, d_lo, d_hi, other), most), room_left)
+    ok = np.zeros(len(at), dtype=bool)
+    for i in range(most + 1):
+        for j in range(most + 1 - i):
+            ok |= seed + left[:, i] + right[:, j] >= least
+    return ok
 
 
 def _rows(ids: list, texts: list, units: list[_Items]) -> Iterator[tuple]:
