@@ -1,16 +1,22 @@
 """Schemas that drift between files: profile, match, report, unify.
 
-Lines of JSON are profiled per file (which top-level keys, which JSON types) and per key (a one-permutation
-MinHash of the words in its values). Keys that the target schema does not know are matched to the fields a
-file lacks by an assignment of greatest total similarity (names, value sketches, types); the matching then
-names every key, so that neighbouring files can be compared and all records unified.
-
-Nulls, blank, comment, broken and non-object lines are no records. A file delivered twice counts once.
-An empty table gives empty results. Extra columns are ignored.
+Every line of JSON is parsed once: per file its top-level keys with their JSON types, per key a one-permutation MinHash of the words in its values.
+Versions are the distinct sets of keys. Each version is matched with the target schema, and its remaining unknown keys with those of the
+version before it in the run, both by an assignment of greatest total similarity (names, value sketches, types). The matchings name every key, so that
+neighbouring files can be compared and all records unified. Between unknown keys a rename also asks for alike names or for long sketches, since short
+values (flags, numbers) are alike by chance.
+
+Nulls, blank, comment, broken and non-object lines are no records. Of a key that a line repeats the last value counts (line_report counts such
+lines). A file delivered twice counts once. An empty table gives empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import jaccard, name_words
-from ..session import broadcast_if_small, cut
+from ..session import cut, spread
 
 # The fields of an annotation record and the JSON types they have where nothing drifted.
 RECORD_FIELDS = {
@@ -30,8 +36,8 @@ RECORD_FIELDS = {
 }
 
 SKETCH_BINS = 64
-MAX_KEYS = 10_000  # drifting keys up to which their list is broadcast
 NAME_WEIGHT, VALUE_WEIGHT, TYPE_WEIGHT, LEAST_SCORE = 0.55, 0.35, 0.10, 0.30
+LEAST_RENAME, LEAST_NAME, LONG_SKETCH = 0.40, 0.3, 16  # between unknown keys: the score, and either the likeness of names or the filled bins of both sketches
 
 
 def json_type(value: Column) -> Column:
@@ -50,38 +56,98 @@ def records(raw: DataFrame) -> DataFrame:
     return body.where(F.schema_of_variant("_v").startswith("OBJECT")).withColumn("rec", F.expr("try_variant_get(_v, '$', 'map<string,variant>')")).drop("_v")
 
 
-def profile_files(recs: DataFrame) -> DataFrame:
-    """(run_id, file_seq, file_name, key, types): the sorted set of non-null JSON types of each key of each file.
+_WORD = re.compile("[a-z9_]+")
+_TYPE = {str: "string", int: "number", float: "number", bool: "boolean", list: "array"}
+PROFILE = "run_id long, file_seq int, file_name string, key string, types array<string>, bin int, least long, repeated long"
+
+
+class _Object(dict):
+    """A JSON object that knows how many members were written; of repeated keys the last value counts."""
+
+    def __init__(self, members: list):
+        super().__init__(members)
+        self.members = len(members)
+
+
+_TYPE[_Object] = "object"
 
-    Lines are first reduced to the signature of their keys and types, which few distinct lines share, so the
-    shuffle carries signatures and not values.
-    """
-    sig = F.array_sort(F.transform(F.map_entries("rec"), lambda e: F.struct(e["key"].alias("key"), json_type(e["value"]).alias("type"))))
-    return (
-        recs.select("run_id", "file_seq", "file_name", sig.alias("sig")).distinct()
-        .select("run_id", "file_seq", "file_name", F.explode("sig").alias("f"))
-        .groupBy("run_id", "file_seq", "file_name", F.col("f.key").alias("key"))
-        .agg(F.array_sort(F.collect_set("f.type")).alias("types"))
-    )
 
+def _no_constant(name: str):
+    raise ValueError(name)
 
-def value_sketches(recs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, bins, types) for the given keys: for each of SKETCH_BINS bins the least hash of the words in the values.
 
-    Every aggregate is combinable, so a key of any size costs one row per bin and task.
+def profile(raw: DataFrame) -> DataFrame:
+    """Rows of PROFILE from one parse of every line: types per file and key (bin null), least hashes per key and bin, and per file the lines that repeat a key.
+
+    Each batch gives a row per file and key and per key and bin, so what is shuffled afterwards doesn't grow with lines.
     """
-    words = F.regexp_extract_all(F.regexp_replace(F.lower(F.expr("to_json(e.value)")), "[0-9]", "9"), F.lit("[a-z9_]+"), F.lit(0))
-    named = (
-        recs.select(F.explode(F.map_entries("rec")).alias("e")).withColumn("key", F.col("e.key"))
-        .join(keys, "key", "left_semi").withColumn("type", json_type(F.col("e.value"))).where(F.col("type").isNotNull())
-    )
-    hashed = named.select("key", "type", F.explode(F.array_distinct(words)).alias("w")).withColumn("h", F.xxhash64("w"))
-    per_bin = hashed.groupBy("key", F.pmod("h", F.lit(SKETCH_BINS)).alias("bin")).agg(F.min("h").alias("least"), F.collect_set("type").alias("types"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            types: dict[tuple, set] = {}
+            bins: dict[tuple, int] = {}
+            kinds: dict[str, set] = {}
+            seen: dict[str, set] = {}
+            repeated: dict[tuple, int] = {}
+            for run, seq, name, line in zip(batch["run_id"], batch["file_seq"], batch["file_name"], batch["raw"]):
+                if line is None or line.lstrip()[:1] != "{":
+                    continue
+                try:
+                    record = json.loads(line, object_pairs_hook=_Object, parse_constant=_no_constant)
+                except (ValueError, RecursionError):
+                    continue
+                if record.members > len(record):
+                    repeated[run, seq, name] = repeated.get((run, seq, name), 0) + 1
+                for key, value in record.items():
+                    at = types.setdefault((run, seq, name, key), set())
+                    if value is None:
+                        continue
+                    kind = _TYPE[type(value)]
+                    at.add(kind)
+                    kinds.setdefault(key, set()).add(kind)
+                    text = value if kind == "string" else str(value)
+                    known = seen.setdefault(key, set())
+                    if text in known:
+                        continue
+                    known.add(text)
+                    for w in set(_WORD.findall(re.sub("[0-9]", "9", text.lower()))):
+                        if w not in hashes:
+                            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big", signed=True)
+                            hashes[w] = (h % SKETCH_BINS, h)
+                        b, h = hashes[w]
+                        if h < bins.get((key, b), 1 << 63):
+                            bins[key, b] = h
+            if len(hashes) > 500_000:
+                hashes = {}
+            rows = [(*k, sorted(v), None, None, None) for k, v in types.items()]
+            rows += [(None, None, None, key, sorted(kinds[key]), b, h, None) for (key, b), h in bins.items()]
+            rows += [(*k, None, None, None, None, n) for k, n in repeated.items()]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")]).astype({"run_id": "Int64", "file_seq": "Int32", "bin": "Int32", "least": "Int64", "repeated": "Int64"})
+
+    return spread(raw.select("run_id", "file_seq", "file_name", "raw")).mapInPandas(scan, PROFILE)
+
+
+def profile_files(rows: DataFrame) -> DataFrame:
+    """(run_id, file_seq, file_name, key, types): the sorted set of non-null JSON types of each key of each file."""
+    return rows.where("bin is null and key is not null").groupBy("run_id", "file_seq", "file_name", "key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types")
+    )
+
+
+def value_sketches(rows: DataFrame) -> DataFrame:
+    """(key, bins, types): for each of SKETCH_BINS bins the least hash of the words in the values of a key."""
+    per_bin = rows.where("bin is not null").groupBy("key", "bin").agg(F.min("least").alias("least"), F.flatten(F.collect_set("types")).alias("types"))
     return per_bin.groupBy("key").agg(
         F.collect_list(F.concat_ws(":", "bin", "least")).alias("bins"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types")
     )
 
 
+def line_report(raw: DataFrame) -> DataFrame:
+    """(run_id, file_seq, file_name, n): the files with lines that repeat a key, and how many."""
+    return profile(raw).where("repeated is not null").groupBy("run_id", "file_seq", "file_name").agg(F.sum("repeated").alias("n"))
+
+
 def assign(weights: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of the assignment of greatest total weight (Hungarian method, rows <= columns after transposing)."""
     flip = weights.shape[0] > weights.shape[1]
@@ -121,54 +187,67 @@ def _matching(edges: pd.Series) -> pd.Series:
     return edges.map(one)
 
 
-def match_keys(recs: DataFrame, profile: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
-    """(file_name, run_id, file_seq, mapping): for each file the unknown keys that stand for a field it lacks.
+def _scores(edges: DataFrame, sketches: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """edges (key, field, ...) with the similarity of the two: score, and likely for two keys that the target schema doesn't know."""
+    types = F.create_map(*[x for f, t in fields.items() for x in (F.lit(f), F.lit(t))])
+    k, f = sketches.alias("k"), sketches.select(F.col("key").alias("field"), F.col("bins").alias("fbins"), F.col("types").alias("ftypes")).alias("f")
+    name, value = jaccard(name_words(F.col("key")), name_words(F.col("field"))), F.coalesce(jaccard(F.col("bins"), F.col("fbins")), F.lit(0.0))
+    declared = F.try_element_at(types, F.col("field"))
+    kinds = F.array_union(F.coalesce("ftypes", F.array().cast("array<string>")), F.when(declared.isNotNull(), F.array(declared)).otherwise(F.array().cast("array<string>")))
+    score = NAME_WEIGHT * name + VALUE_WEIGHT * value + TYPE_WEIGHT * F.coalesce(jaccard(F.col("types"), kinds), F.lit(0.0))
+    likely = (score >= LEAST_RENAME) & ((name >= LEAST_NAME) | (F.least(F.size("bins"), F.size("fbins")) >= LONG_SKETCH))
+    return edges.join(k, "key", "left").join(f, "field", "left").withColumn("score", score).withColumn("likely", F.coalesce(likely, F.lit(False)))
 
-    Versions, that is distinct sets of unknown keys and lacking fields, are few; the assignment is solved once for each.
+
+def _solve(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mapping): the assignment of greatest total score of each pair of versions; key to field."""
+    return edges.groupBy(*by).agg(F.collect_list(F.struct("key", "field", "score")).alias("edges")).select(*by, _matching("edges").alias("mapping"))
+
+
+_NONE = "cast(map() as map<string,string>)"
+
+
+def match_keys(profiled: DataFrame, sketches: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
+    """(run_id, file_seq, file_name, now, mapping, before, before_mapping, renamed): for each file and the one before it in its run their keys with types,
+    the unknown keys that stand for a field of the target schema, and the keys of the file before that were renamed (to which key).
+
+    Versions, that is distinct sets of keys, and pairs of them are few; an assignment is solved once for each.
     """
     known = F.array(*[F.lit(f) for f in fields])
-    versions = (
-        profile.groupBy("run_id", "file_seq", "file_name").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-        .select("*", F.array_except("keys", known).alias("unknown"), F.array_except(known, "keys").alias("lacking"))
+    files = (
+        profiled.groupBy("run_id", "file_seq", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("key", "types"))).alias("now"))
+        .withColumn("keys", F.array_sort(F.map_keys("now"))).select("*", F.array_except("keys", known).alias("unknown"), F.array_except(known, "keys").alias("lacking"))
     )
-    distinct = versions.where((F.size("unknown") > 0) & (F.size("lacking") > 0)).select("unknown", "lacking").distinct()
+    distinct = files.where((F.size("unknown") > 0) & (F.size("lacking") > 0)).select("unknown", "lacking").distinct()
     edges = distinct.select("unknown", "lacking", F.explode("unknown").alias("key")).select("*", F.explode("lacking").alias("field"))
-    wanted = edges.select("key").union(edges.select("field")).distinct()
-    sketches = value_sketches(recs, broadcast_if_small(wanted, MAX_KEYS))
-    types = F.create_map(*[x for f, t in fields.items() for x in (F.lit(f), F.lit(t))])
-    k, f = sketches.alias("k"), sketches.select(F.col("key").alias("field"), F.col("bins").alias("fbins"), F.col("types").alias("ftypes")).alias("f")
-    scored = (
-        edges.join(k, "key", "left").join(f, "field", "left")
-        .withColumn("score",
-            NAME_WEIGHT * jaccard(name_words(F.col("key")), name_words(F.col("field")))
-            + VALUE_WEIGHT * F.coalesce(jaccard(F.col("bins"), F.col("fbins")), F.lit(0.0))
-            + TYPE_WEIGHT * F.coalesce(jaccard(F.col("types"), F.array_union(F.coalesce("ftypes", F.array()), F.array(F.element_at(types, F.col("field"))))), F.lit(0.0)))
-    )
-    solved = (
-        scored.groupBy("unknown", "lacking").agg(F.collect_list(F.struct("key", "field", "score")).alias("edges"))
-        .select("unknown", "lacking", _matching("edges").alias("mapping"))
-    )
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return versions.join(solved, ["unknown", "lacking"], "left").select("run_id", "file_seq", "file_name", F.coalesce("mapping", none).alias("mapping"))
+    solved = _solve(_scores(edges, sketches, fields), ["unknown", "lacking"])
+    files = files.join(solved, ["unknown", "lacking"], "left").select("run_id", "file_seq", "file_name", "now", "unknown", F.coalesce("mapping", F.expr(_NONE)).alias("mapping"))
+    w = Window.partitionBy("run_id").orderBy("file_seq", "file_name")
+    free = F.array_except("unknown", F.map_keys("mapping"))
+    x = cut(files.select("run_id", "file_seq", "file_name", "now", "mapping", free.alias("free")).withColumn("last", F.lag(F.struct("now", "mapping", "free")).over(w)))
+    gone, come = F.array_except("last.free", F.map_keys("now")), F.array_except("free", F.map_keys("last.now"))
+    x = x.select("run_id", "file_seq", "file_name", "now", "mapping", F.col("last.now").alias("before"), F.col("last.mapping").alias("before_mapping"), gone.alias("gone"), come.alias("come"))
+    pairs = x.where((F.size("gone") > 0) & (F.size("come") > 0)).select("gone", "come").distinct()
+    edges = pairs.select("gone", "come", F.explode("gone").alias("key")).select("*", F.explode("come").alias("field"))
+    solved = _solve(_scores(edges, sketches, fields).where("likely"), ["gone", "come"]).withColumnRenamed("mapping", "renamed")
+    return x.join(solved, ["gone", "come"], "left").select("run_id", "file_seq", "file_name", "now", "mapping", "before", "before_mapping", F.coalesce("renamed", F.expr(_NONE)).alias("renamed"))
 
 
 def schema_changes(raw: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
     """(run_id, file_seq, file_name, field, change) between each file and the one before it in its run.
 
     change is ADDED, REMOVED, RENAMED or RETYPED; the last two may both hold for a field. A field whose values are
-    all null in one of the two files has no type there and is not RETYPED.
+    all null in one of the two files has no type there and is not RETYPED. A renamed key beyond the target schema goes by its new name.
     """
-    recs = records(raw)
-    profile = cut(profile_files(recs))
-    mapping = match_keys(recs, profile, fields)
-    named = profile.join(mapping, ["run_id", "file_seq", "file_name"]).withColumn("field", F.coalesce(F.element_at("mapping", F.col("key")), "key"))
-    per_file = named.groupBy("run_id", "file_seq", "file_name").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", F.struct("key", "types")))).alias("now")
-    )
-    w = Window.partitionBy("run_id").orderBy("file_seq", "file_name")
-    pairs = per_file.withColumn("before", F.lag("now").over(w)).where(F.col("before").isNotNull())
-    both = pairs.select("run_id", "file_seq", "file_name", "now", "before", F.explode(F.array_union(F.map_keys("now"), F.map_keys("before"))).alias("field"))
-    a, b = F.element_at("before", F.col("field")), F.element_at("now", F.col("field"))
+    rows = cut(profile(raw))
+    pairs = match_keys(profile_files(rows), value_sketches(rows), fields).where("before is not null")
+    named = lambda keys, name: F.map_from_entries(F.transform(F.map_entries(keys), lambda e: F.struct(name(e["key"]), F.struct(e["key"].alias("key"), e["value"].alias("types")))))
+    at = lambda m, k: F.try_element_at(F.col(m), k)
+    now = named("now", lambda k: F.coalesce(at("mapping", k), k))
+    before = named("before", lambda k: F.coalesce(at("before_mapping", k), at("renamed", k), k))
+    both = pairs.select("run_id", "file_seq", "file_name", now.alias("now"), before.alias("before"))
+    both = both.select("*", F.explode(F.array_union(F.map_keys("now"), F.map_keys("before"))).alias("field"))
+    a, b = at("before", F.col("field")), at("now", F.col("field"))
     retyped = (F.size(a["types"]) > 0) & (F.size(b["types"]) > 0) & (a["types"] != b["types"])
     changes = F.array_compact(F.array(
         F.when(a.isNull(), "ADDED"), F.when(b.isNull(), "REMOVED"),
@@ -177,6 +256,27 @@ def schema_changes(raw: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> Da
     return both.select("run_id", "file_seq", "file_name", "field", F.explode(changes).alias("change"))
 
 
+@F.pandas_udf(T.StringType())
+def _once(raw: pd.Series) -> pd.Series:
+    """Lines of JSON with the last value of a key that stands repeatedly; other lines as they are."""
+
+    def one(line: str) -> str:
+        repeats = []
+
+        def pairs(items: list) -> dict:
+            d = dict(items)
+            repeats.append(len(d) < len(items))
+            return d
+
+        try:
+            value = json.loads(line, object_pairs_hook=pairs)
+        except (ValueError, RecursionError):
+            return line
+        return json.dumps(value, ensure_ascii=False) if any(repeats) else line
+
+    return raw.map(one, na_action="ignore")
+
+
 def tri_state(value: Column) -> Column:
     """YES, NO or UNKNOWN from a VARIANT that is a string, a boolean, 1 / 0 / -1, a list of one or an object with `value`."""
     t = json_type(value)
@@ -210,10 +310,11 @@ def unify(raw: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
     Scalars are strings, value_fate is an array, exceeds_all_reasons is YES / NO / UNKNOWN / null, constraint_verdicts
     is map<string, struct<scalar, by_domain>>, and keys beyond the schema stay as JSON text in `extra`.
     """
-    recs = records(raw)
-    mapping = match_keys(recs, cut(profile_files(recs)), fields)
-    first = recs.groupBy("run_id", "file_seq", "file_name", "line_no").agg(F.min_by("raw", "arrived_at").alias("raw"), F.min("arrived_at").alias("arrived_at"))
-    body = records(first).join(mapping, ["run_id", "file_seq", "file_name"])
+    rows = cut(profile(raw))
+    mapping = match_keys(profile_files(rows), value_sketches(rows), fields).select("run_id", "file_seq", "file_name", "mapping")
+    lines = raw.where(F.col("raw").isNotNull() & F.ltrim("raw").startswith("{"))
+    first = lines.groupBy("run_id", "file_seq", "file_name", "line_no").agg(F.min_by("raw", "arrived_at").alias("raw"), F.min("arrived_at").alias("arrived_at"))
+    body = records(first.withColumn("raw", _once("raw"))).join(mapping, ["run_id", "file_seq", "file_name"])
     rec = F.transform_keys("rec", lambda k, v: F.coalesce(F.element_at("mapping", k), k))
     body = body.withColumn("rec", rec)
     plain = [f for f in fields if f not in ("exceeds_all_reasons", "constraint_verdicts", "value_fate")]

@@ -19,6 +19,13 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "annotation_raw"))
 
 
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """Of every unified record the two fields that drift: the tri-state, and how many constraints and which scalars it has."""
+    u = drift.unify(table(spark, d, "annotation_raw"))
+    scalars = F.array_join(F.array_sort(F.transform(F.map_entries("constraint_verdicts"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"]["scalar"], F.lit("MIXED"))))), ";")
+    return u.select("file_name", "line_no", "exceeds_all_reasons", scalars.alias("verdicts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         skew.heavy_keys(table(spark, d, t), "unit_location", HEAVY_SHARE).select(F.lit(t).alias("table_name"), "unit_location")
@@ -61,7 +68,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy(F.lit("annotation").alias("table_name"), "field", "month", "reason").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p4_found, p4_verdicts, p4_categories, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_values, p4_found, p4_verdicts, p4_categories, p5_found, p5_counts)}
 
 _CHANGES = """
 WITH lines AS (SELECT DISTINCT run_id, file_seq, file_name, raw FROM annotation_raw WHERE NOT regexp_matches(raw, '^\\s*(#|$)') AND json_valid(raw)),
@@ -81,6 +88,20 @@ SELECT file_name, field, 'ADDED' AS change FROM j WHERE ka IS NULL UNION ALL SEL
 UNION ALL SELECT file_name, field, 'RENAMED' FROM j WHERE ka <> kb UNION ALL SELECT file_name, field, 'RETYPED' FROM j WHERE ta <> tb
 """
 
+_VALUES = """
+WITH l AS (SELECT file_name, line_no, arg_min(raw, arrived_at) AS raw FROM annotation_raw WHERE NOT regexp_matches(raw, '^\\s*(#|$)') AND json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY ALL),
+v AS (SELECT file_name, line_no, coalesce(raw->'$.exceeds_all_reasons', raw->'$.exceeds_reasons', raw->'$.exceeds_all', raw->'$.beyond_all_reasons', raw->'$.exceedsAllReasons') AS x,
+  coalesce(raw->'$.constraint_verdicts', raw->'$.verdicts', raw->'$.constraintVerdicts', raw->'$.constraint_results', raw->'$.verdict_by_constraint') AS c FROM l),
+t AS (SELECT *, upper(CASE json_type(x) WHEN 'ARRAY' THEN x->>'$[0]' WHEN 'OBJECT' THEN x->>'$.value' WHEN 'NULL' THEN NULL ELSE x->>'$' END) AS s,
+  CASE WHEN json_type(c) = 'VARCHAR' AND json_valid(c->>'$') AND (c->>'$') LIKE '{%' THEN (c->>'$')::JSON ELSE c END AS o FROM v),
+k AS (SELECT file_name, line_no, s, CASE json_type(o)
+    WHEN 'OBJECT' THEN [id || '=' || coalesce(CASE WHEN json_type(o->id) = 'VARCHAR' THEN o->>id END, 'MIXED') FOR id IN json_keys(o)]
+    WHEN 'ARRAY' THEN [CASE WHEN json_type(e) = 'OBJECT' THEN (e->>'$.id') || '=' || coalesce(CASE WHEN json_type(e->'$.verdict') = 'VARCHAR' THEN e->>'$.verdict' END, 'MIXED')
+                       ELSE (e->>'$[0]') || '=' || coalesce(CASE WHEN json_type(e->'$[1]') = 'VARCHAR' THEN e->>'$[1]' END, 'MIXED') END FOR e IN CAST(o AS JSON[])]
+    WHEN 'VARCHAR' THEN [p FOR p IN string_split(o->>'$', ';') IF contains(p, '=')] END AS vs FROM t)
+SELECT file_name, line_no, CASE WHEN s IN ('TRUE', '1') THEN 'YES' WHEN s IN ('FALSE', '0') THEN 'NO' WHEN s = '-1' THEN 'UNKNOWN' ELSE s END AS exceeds_all_reasons, array_to_string(list_sort(vs), ';') AS verdicts FROM k
+"""
+
 _REFS = r"""
 WITH n AS (SELECT ann_id, annotated_at, unit_location, notes, regexp_replace(notes, '(?:defined in|@)\s*[\w+./-]+\.\w+:\d+', ' ', 'g') AS m FROM annotation),
 r AS (
@@ -102,6 +123,7 @@ o AS (SELECT ann_id, field, site_ref, min(strftime(annotated_at, '%Y-%m')) AS mo
 
 ORACLE = {
     "p1_found": _CHANGES,
+    "p1_values": _VALUES,
     "p4_found": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, unit_location FROM {t} WHERE unit_location IS NOT NULL GROUP BY unit_location HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM {t})"
         for t in ("site", "annotation", "documents")

@@ -42,6 +42,29 @@ def test_changes_between_files(spark):
     }
 
 
+def test_unknown_keys_are_matched_between_versions(spark):
+    """A key outside the target schema is renamed; another goes while an unlike one comes; a run may start with a renamed field."""
+    a = record(review_state="open", elapsed_s=5)
+    b = record(reviewState="open", checked=True)
+    c = renamed(record(), "constraint_verdicts", "verdicts")
+    d = renamed(record(), "constraint_verdicts", "constraintVerdicts")
+    df = spark.createDataFrame(raw_rows([(1, 1, "f1", [a]), (1, 2, "f2", [b]), (2, 1, "g1", [c]), (2, 2, "g2", [d]), (2, 3, "g3", [record()])]), RAW)
+    got = {(r.file_name, r.field, r.change) for r in drift.schema_changes(df).collect()}
+    assert got == {
+        ("f2", "reviewState", "RENAMED"), ("f2", "elapsed_s", "REMOVED"), ("f2", "checked", "ADDED"),
+        ("g2", "constraint_verdicts", "RENAMED"), ("g3", "constraint_verdicts", "RENAMED"),
+    }
+
+
+def test_repeated_keys_and_odd_values(spark):
+    line = json.dumps(record(extra_key={}))[:-1] + ', "extra_key": [], "notes": "last"}'
+    df = spark.createDataFrame(raw_rows([(1, 1, "f1", [record(extra_key={})]), (1, 2, "f2", [line, '{"x": NaN}', "{", "x" * 100_000])]), RAW)
+    assert [tuple(r) for r in drift.line_report(df).collect()] == [(1, 2, "f2", 1)]
+    assert {(r.field, r.change) for r in drift.schema_changes(df).collect()} == {("extra_key", "RETYPED")}
+    got = {r.file_name: r.notes for r in drift.unify(df).collect()}
+    assert got == {"f1": "v", "f2": "last"}
+
+
 def test_unify_reads_every_form(spark):
     forms = [
         (True, {"RA_C1": "CONFLICT"}), (0, [["RA_C1", "CONFLICT"], ["RA_C1", "UNKNOWN"]]), (-1, [{"id": "RA_C1", "verdict": "CONFLICT"}]), (["YES"], "RA_C1=CONFLICT;"),
