@@ -1,68 +1,63 @@
 """References to records that do not exist, do not exist any more, or do not exist yet.
 
-References are composite keys with partial nulls. They are grouped by null mask; each mask is anti-joined on its
-non-null columns alone (MATCH PARTIAL: a reference is satisfied by any target that agrees on the columns it has).
-MATCH SIMPLE leaves references with a null among the declared columns unchecked, MATCH FULL counts them as orphans.
+References are composite keys with partial nulls. They are grouped by null mask; each mask is anti-joined on its non-null columns alone, and the
+declared match semantics say which masks are looked at:
 
-A reference whose columns are all null is no reference. Where the reference has no time, a target counts at any
+- MATCH PARTIAL: a reference is satisfied by any target that agrees on the columns it has.
+- MATCH SIMPLE: a reference with a null among the declared columns is not checked.
+- MATCH FULL: a reference with a null among the declared columns is an orphan (MISSING too), whatever targets there are.
+
+A reference whose columns are all null is no reference. reason is MISSING (no target with these columns), DELETED (one was there, its end known and
+reached) or LATE (they all began later); a target of unknown beginning has always been there. Where the reference has no time, a target counts at any
 time, so only MISSING can be found. Repeated references and repeated targets count once. Empty tables give an
 empty result, except that without targets every reference is MISSING.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def find_orphans(
     refs: DataFrame, targets: DataFrame, masks: list[list[str]] | None, columns: list[str], at: str, since: str, until: str, match: str = "partial"
 ) -> DataFrame:
     """refs with the column `reason` added, those alone that no target satisfies.
 
-    refs holds the key columns and `at`; targets holds them with `since` and `until` (null: still there).
-    masks lists the sets of non-null columns that references may have; under MATCH SIMPLE and FULL only the masks
-    that hold all of their own declared columns are given. None: all sets that refs has, by a small aggregate.
+    refs holds the key columns and `at`; targets holds them with `since` and `until` (null: still there). masks lists the sets of non-null
+    columns that MATCH PARTIAL looks at; None: all sets that refs has, by a small aggregate. Both frames are read once for each mask, so
+    callers give them cut or cached.
     """
     if match not in ("partial", "simple", "full"):
         raise ValueError("match is partial, simple or full")
-    if masks is None:
-        seen = refs.select(*[F.col(c).isNotNull().alias(c) for c in columns]).distinct().collect()
+    has = lambda mask: reduce(Column.__and__, [F.col(c).isNotNull() if c in mask else F.col(c).isNull() for c in columns])
+    if match != "partial":
+        masks = [list(columns)]
+    elif masks is None:
+        seen = refs.select(*[F.col(c).isNotNull().alias(c) for c in columns]).distinct().collect()  # at most 2 ^ columns
         masks = sorted(m for m in ([c for c in columns if r[c]] for r in seen) if m)
     parts = []
     for mask in masks:
-        present = F.lit(True)
-        for c in columns:
-            present &= F.col(c).isNotNull() if c in mask else F.col(c).isNull()
-        mine = refs.where(present)
         keys = [f"_k{i}" for i in range(len(mask))]
         there = targets.select(*[F.col(c).alias(k) for c, k in zip(mask, keys)], F.col(since).alias("_since"), F.col(until).alias("_until"))
         there = there.dropna(subset=keys).distinct()
-        same = F.lit(True)
-        for c, k in zip(mask, keys):
-            same &= F.col(c) == F.col(k)
-        alive = (F.col("_since").isNull() | F.col(at).isNull() | (F.col("_since") <= F.col(at))) & (F.col("_until").isNull() | F.col(at).isNull() | (F.col(at) < F.col("_until")))
-        orphans = mine.join(there, same & alive, "left_anti")
-        ever = there.groupBy(*keys).agg(F.min("_since").alias("_first"))
-        reason = F.when(F.col(keys[0]).isNull(), "MISSING").when(F.col("_first") <= F.col(at), "DELETED").otherwise("LATE")
-        parts.append(orphans.join(ever, same, "left").withColumn("reason", reason).drop(*keys, "_first"))
+        same = reduce(Column.__and__, [F.col(c) == F.col(k) for c, k in zip(mask, keys)])
+        begun = F.col("_since").isNull() | F.col(at).isNull() | (F.col("_since") <= F.col(at))
+        alive = begun & (F.col("_until").isNull() | F.col(at).isNull() | (F.col(at) < F.col("_until")))
+        orphans = refs.where(has(mask)).join(there, same & alive, "left_anti")
+        ever = there.groupBy(*keys).agg(F.min("_since").alias("_first"), F.bool_or(F.col("_since").isNull()).alias("_always"))
+        reason = F.when(F.col(keys[0]).isNull(), "MISSING").when(F.col("_always") | (F.col("_first") <= F.col(at)), "DELETED").otherwise("LATE")
+        parts.append(orphans.join(ever, same, "left").withColumn("reason", reason).drop(*keys, "_first", "_always"))
     if match == "full":
-        covered = F.lit(False)
-        for mask in masks:
-            present = F.lit(True)
-            for c in columns:
-                present &= F.col(c).isNotNull() if c in mask else F.col(c).isNull()
-            covered |= present
-        some = F.lit(False)
-        for c in columns:
-            some |= F.col(c).isNotNull()
-        parts.append(refs.where(some & ~covered).withColumn("reason", F.lit("MISSING")))
+        some = reduce(Column.__or__, [F.col(c).isNotNull() for c in columns])
+        parts.append(refs.where(some & ~has(columns)).withColumn("reason", F.lit("MISSING")))
     if not parts:
         return refs.limit(0).withColumn("reason", F.lit("MISSING"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 # How notes name a site, and what looks alike but is no reference.
@@ -106,10 +101,10 @@ def site_references(annotation: DataFrame) -> DataFrame:
 
 def site_orphans(annotation: DataFrame, site: DataFrame) -> DataFrame:
     """(ann_id, field, site_ref, reason, month): every reference of annotation to a site that cannot be resolved."""
-    targets = site.select(F.lower(F.trim("site_id")).alias("site_id"), "unit_location", "file", "line", "scanned_at", "dropped_at").withColumn(
-        "prefix", F.substring("site_id", 1, 12)
-    )
-    found = find_orphans(site_references(annotation), targets, None, ["site_id", "prefix", "unit_location", "file", "line"], "annotated_at", "scanned_at", "dropped_at")
+    # Both are cut, so the patterns run once over each note and not once for each mask.
+    targets = cut(site.select(F.lower(F.trim("site_id")).alias("site_id"), "unit_location", "file", "line", "scanned_at", "dropped_at").distinct().withColumn("prefix", F.substring("site_id", 1, 12)))
+    refs = cut(site_references(annotation))
+    found = find_orphans(refs, targets, None, ["site_id", "prefix", "unit_location", "file", "line"], "annotated_at", "scanned_at", "dropped_at")
     return found.groupBy("ann_id", "field", "site_ref").agg(
         F.min_by("reason", F.struct("annotated_at", "reason")).alias("reason"), F.min(F.date_format("annotated_at", "yyyy-MM")).alias("month")
     )

@@ -14,7 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
+
+LEAST_SHARE = 2e-4  # smaller shares would ask the sketch for more than 1,000,000 items
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -23,8 +25,10 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     The sketch tracks far more items than 1 / share, so its error is far below share and no heavy key is missed;
     candidates down to half the share are counted exactly over a broadcast of at most 4 / share keys.
     """
+    if not LEAST_SHARE <= share <= 1:
+        raise ValueError(f"share lies between {LEAST_SHARE} and 1")
     k = max(8, math.ceil(4 / share))
-    tracked = min(1_000_000, max(10_000, 50 * k))
+    tracked = max(10_000, 50 * k)
     rows = df.select(F.col(key).alias(key))
     top = rows.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {k}, {tracked})").alias("top"))
     candidates = top.select(F.explode("top").alias("t")).select(F.col(f"t.item").alias(key))
@@ -47,9 +51,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01,
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join knows inner and left joins")
-    heavy = heavy_keys(left, key, share)
+    heavy = cut(heavy_keys(left, key, share))  # at most 1 / share rows, used four times
     on, off = split_heavy(left, key, heavy)
-    right_on = right.join(F.broadcast(heavy.select(key)), key, "left_semi")
+    right_on = cut(right.join(F.broadcast(heavy.select(key)), key, "left_semi"))
     return on.join(broadcast_if_small(right_on, max_rows), key, how).unionByName(off.join(right, key, how))
 
 

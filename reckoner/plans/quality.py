@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import drift, orphans, skew
+from ..session import cut
 from .tables import table
 
 HEAVY_SHARE = 0.03
@@ -42,17 +44,23 @@ def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "annotation").where("unit_location is not null")
         .select("unit_location", "pass_name", F.explode(F.map_entries("constraint_verdicts")).alias("v")).select("unit_location", "pass_name", verdict.alias("verdict"))
     )
-    joined = skew.skew_join(marks, site, "unit_location", share=HEAVY_SHARE, how="left")
-    keys = ["unit_location", "pass_name", "verdict"]
-    return skew.salted_counts(
-        joined, keys, [F.count(F.lit(1)).alias("c"), F.max("n_sites").alias("s")], [F.sum("c").alias("n_verdicts"), F.max("s").alias("n_sites")]
-    )
+    # Counted first, so the join has a row per unit, pass and verdict and no hot unit.
+    counts = marks.groupBy("unit_location", "pass_name", "verdict").agg(F.count(F.lit(1)).alias("n_verdicts"))
+    return counts.join(site, "unit_location", "left")
+
+
+def p4_early(spark: SparkSession, d: str) -> DataFrame:
+    """Per unit and pass the records, and those made before the unit's sites were all scanned: every record meets its unit, so hot units are joined by broadcast."""
+    site = table(spark, d, "site").where("unit_location is not null").groupBy("unit_location").agg(F.max("scanned_at").alias("scanned"))
+    a = table(spark, d, "annotation").where("unit_location is not null").select("unit_location", "pass_name", "annotated_at")
+    joined = skew.skew_join(a, site, "unit_location", share=HEAVY_SHARE, how="left")
+    return joined.groupBy("unit_location", "pass_name").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("annotated_at") < F.col("scanned")).alias("n_early"))
 
 
 def p4_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Sites per unit and category, repeated rows as they lie."""
+    """Sites per unit and category, repeated rows as they lie; Spark combines before it shuffles, so a hot unit is a row per task."""
     s = table(spark, d, "site").where("unit_location is not null")
-    return skew.salted_counts(s, ["unit_location", "category"], [F.count(F.lit(1)).alias("c")], [F.sum("c").alias("n_rows")])
+    return s.groupBy("unit_location", "category").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +76,19 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy(F.lit("annotation").alias("table_name"), "field", "month", "reason").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_values, p4_found, p4_verdicts, p4_categories, p5_found, p5_counts)}
+def p5_semantics(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of the composite reference (unit_location, site_id) of annotation to site, under each of the match semantics."""
+    t = table(spark, d, "site").select("unit_location", F.lower(F.trim("site_id")).alias("site_id"), "scanned_at", "dropped_at")
+    r = table(spark, d, "annotation").select("ann_id", "unit_location", F.lower(strip(F.col("site_id"))).alias("site_id"), "annotated_at").distinct()
+    t, r = cut(t.distinct()), cut(r)
+    parts = [
+        orphans.find_orphans(r, t, None, ["unit_location", "site_id"], "annotated_at", "scanned_at", "dropped_at", match=m).groupBy(F.lit(m).alias("semantics"), "reason").agg(F.count(F.lit(1)).alias("n_refs"))
+        for m in ("partial", "simple", "full")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_values, p4_found, p4_verdicts, p4_early, p4_categories, p5_found, p5_counts, p5_semantics)}
 
 _CHANGES = """
 WITH lines AS (SELECT DISTINCT run_id, file_seq, file_name, raw FROM annotation_raw WHERE NOT regexp_matches(raw, '^\\s*(#|$)') AND json_valid(raw)),
@@ -134,6 +154,22 @@ WITH v AS (SELECT unit_location, pass_name, unnest(map_values(constraint_verdict
 m AS (SELECT unit_location, pass_name, CASE WHEN cardinality(v.by_domain) > 0 THEN 'MIXED' ELSE v.scalar END AS verdict FROM v),
 s AS (SELECT unit_location, count(DISTINCT site_id) AS n_sites FROM site GROUP BY 1)
 SELECT m.unit_location, pass_name, verdict, count(*) AS n_verdicts, max(n_sites) AS n_sites FROM m LEFT JOIN s USING (unit_location) GROUP BY ALL""",
+    "p4_early": """
+WITH s AS (SELECT unit_location, max(scanned_at) AS scanned FROM site GROUP BY 1)
+SELECT a.unit_location, pass_name, count(*) AS n_records, count_if(annotated_at < scanned) AS n_early FROM annotation a LEFT JOIN s USING (unit_location) WHERE a.unit_location IS NOT NULL GROUP BY ALL""",
+    "p5_semantics": """
+WITH t AS (SELECT DISTINCT unit_location AS u, lower(trim(site_id)) AS s, scanned_at, dropped_at FROM site),
+r AS (SELECT DISTINCT ann_id, unit_location AS u, lower(regexp_replace(site_id, '^\\s+|\\s+$', '', 'g')) AS s, annotated_at AS at FROM annotation WHERE unit_location IS NOT NULL OR site_id IS NOT NULL),
+b AS (SELECT u, s, min(coalesce(scanned_at, TIMESTAMP '0001-01-01')) AS first, TRUE AS known FROM t GROUP BY ALL), us AS (SELECT DISTINCT s FROM t), uu AS (SELECT u, min(coalesce(scanned_at, TIMESTAMP '0001-01-01')) AS first, TRUE AS known FROM t GROUP BY 1),
+ss AS (SELECT s, min(coalesce(scanned_at, TIMESTAMP '0001-01-01')) AS first, TRUE AS known FROM t GROUP BY 1),
+x AS (SELECT 'both' AS mask, CASE WHEN b.known IS NULL THEN 'MISSING' WHEN b.first <= r.at THEN 'DELETED' ELSE 'LATE' END AS reason FROM r LEFT JOIN b USING (u, s) WHERE r.u IS NOT NULL AND r.s IS NOT NULL
+    AND NOT EXISTS (FROM t WHERE t.u = r.u AND t.s = r.s AND coalesce(t.scanned_at <= r.at, TRUE) AND coalesce(r.at < t.dropped_at, TRUE))
+  UNION ALL SELECT 'part', CASE WHEN ss.known IS NULL THEN 'MISSING' WHEN ss.first <= r.at THEN 'DELETED' ELSE 'LATE' END FROM r LEFT JOIN ss USING (s) WHERE r.u IS NULL AND r.s IS NOT NULL
+    AND NOT EXISTS (FROM t WHERE t.s = r.s AND coalesce(t.scanned_at <= r.at, TRUE) AND coalesce(r.at < t.dropped_at, TRUE))
+  UNION ALL SELECT 'part', CASE WHEN uu.known IS NULL THEN 'MISSING' WHEN uu.first <= r.at THEN 'DELETED' ELSE 'LATE' END FROM r LEFT JOIN uu USING (u) WHERE r.s IS NULL AND r.u IS NOT NULL
+    AND NOT EXISTS (FROM t WHERE t.u = r.u AND coalesce(t.scanned_at <= r.at, TRUE) AND coalesce(r.at < t.dropped_at, TRUE)))
+SELECT 'partial' AS semantics, reason, count(*) AS n_refs FROM x GROUP BY ALL UNION ALL SELECT 'simple', reason, count(*) FROM x WHERE mask = 'both' GROUP BY ALL
+UNION ALL SELECT 'full', reason, count(*) FROM (SELECT reason FROM x WHERE mask = 'both' UNION ALL SELECT 'MISSING' FROM r WHERE u IS NULL OR s IS NULL) GROUP BY ALL""",
     "p5_found": _REFS + "SELECT ann_id, field, site_ref, reason FROM o",
     "p5_counts": _REFS + "SELECT 'annotation' AS table_name, field, month, reason, count(*) AS n_refs FROM o GROUP BY ALL",
 }

@@ -156,3 +156,25 @@ def test_references_with_any_null_mask_are_checked(spark):
     targets = spark.createDataFrame([("a", "c", t, None)], "p string, q string, since timestamp, until timestamp")
     assert {(r.p, r.q) for r in orphans.find_orphans(refs, targets, None, ["p", "q"], "at", "since", "until").collect()} == {(None, "b"), ("x", "y")}
     assert orphans.site_orphans(ann.limit(0), site).count() == 0
+
+
+def test_match_semantics_differ(spark):
+    """SIMPLE leaves references with a null alone, FULL counts them, PARTIAL looks them up; a target of unknown beginning was deleted, not late."""
+    refs = spark.createDataFrame([(1, "a", None), (2, "a", "b"), (3, None, None), (4, "z", None), (5, "a", "c"), (6, "d", "d")], "id int, x string, y string").withColumn("at", F.lit(day(5)).cast("timestamp_ntz"))
+    tgt = spark.createDataFrame([("a", "b", None, None), ("d", "d", None, day(1))], "x string, y string, s timestamp_ntz, u timestamp_ntz")
+    for match, want in (("partial", {(4, "MISSING"), (5, "MISSING"), (6, "DELETED")}), ("simple", {(5, "MISSING"), (6, "DELETED")}), ("full", {(1, "MISSING"), (4, "MISSING"), (5, "MISSING"), (6, "DELETED")})):
+        assert {(r.id, r.reason) for r in orphans.find_orphans(refs, tgt, None, ["x", "y"], "at", "s", "u", match=match).collect()} == want
+
+
+def test_small_shares_are_refused(spark):
+    with pytest.raises(ValueError):
+        skew.heavy_keys(spark.createDataFrame([("a",)], "k string"), "k", 1e-7)
+
+
+def test_scans(spark, tmp_path):
+    """Patterns run once over each note, and marks are counted before they are joined."""
+    from reckoner.plans import quality
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda f: f(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(quality.p5_found).count("parquet") == 0 and plan(quality.p4_verdicts).count("parquet") == 2
