@@ -47,15 +47,20 @@ def token_count(spark, path: str = DEFAULT_TOKENIZER):
     return count
 
 
+def document_sizes(documents: DataFrame, size) -> DataFrame:
+    """(doc_id, source, n): the size of each document, in the spelling of its source that all share; size is a function of the text column."""
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", spelling(F.col("source")).alias("source"), F.coalesce(size("text"), F.lit(0)).cast("long").alias("n"))
+
+
 def source_sizes(documents: DataFrame, tokens) -> DataFrame:
     """(source, n_docs, size): spellings of a source count together; documents without a source stand under null."""
     return spread(documents.select("source", "text")).select(spelling(F.col("source")).alias("source"), tokens("text").alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("size"))
 
 
 def plan(sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """(mix_id, source, weight, max_repeat, n_docs, size, wanted, rate, expected, reached, is_short), one row per target.
+    """(mix_id, source, weight, max_repeat, n_docs, size, wanted, rate, expected, is_short), one row per target.
 
-    reached is the expected share of the source in its mix; is_short tells that max_repeat * size < wanted.
+    expected is the size that the rate gives on average; is_short tells that even max_repeat copies stay below wanted.
     """
     sizes = cut(sizes)  # one row per source; texts are tokenized once, not once per use
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
@@ -65,22 +70,35 @@ def plan(sizes: DataFrame, mix_targets: DataFrame) -> DataFrame:
     wanted = F.col("weight") * F.col("total")
     rate = F.when(F.col("size") > 0, F.least(F.col("max_repeat").cast("double"), wanted / F.col("size"))).otherwise(0.0)
     t = t.withColumn("wanted", wanted).withColumn("rate", rate).withColumn("expected", F.col("rate") * F.col("size"))
-    sums = t.groupBy("mix_id").agg(F.sum("expected").alias("mix_size"))
-    return t.join(sums, "mix_id").select(
+    return t.select(
         "mix_id", F.col("label").alias("source"), F.col("source").alias("source_key"), "weight", "max_repeat", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "size", "wanted",
-        "rate", "expected", F.try_divide("expected", "mix_size").alias("reached"), (F.col("max_repeat") * F.col("size") < F.col("wanted")).alias("is_short"),
+        "rate", "expected", (F.col("max_repeat") * F.col("size") < F.col("wanted")).alias("is_short"),
     )
 
 
+def reached_shares(sizes: DataFrame, mix_targets: DataFrame, seed: str = "mix-1") -> DataFrame:
+    """plan() of the documents in sizes (doc_id, source, n) with `emitted`, the size of the copies that mixture() emits, and `reached`, its share of the mix.
+
+    Every document decides by its own hash how often it stands in a mix, so sizes are summed where they lie.
+    """
+    sizes = cut(sizes)  # texts are measured once
+    p = cut(plan(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("size")), mix_targets))
+    out = mixture(sizes, p, seed).groupBy("mix_id", F.col("source").alias("source_key")).agg(F.sum("n").alias("emitted"))
+    out = p.join(out, ["mix_id", "source_key"], "left").withColumn("emitted", F.coalesce("emitted", F.lit(0)))
+    whole = out.groupBy("mix_id").agg(F.sum("emitted").alias("_all"))
+    return out.join(whole, "mix_id").withColumn("reached", F.try_divide("emitted", "_all")).drop("_all")
+
+
 def copies(rate: Column, seed: Column) -> Column:
     """floor(rate), and one more with the probability of the fraction, by a hash of the seed."""
-    u = F.pmod(F.xxhash64(seed), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    u = F.conv(F.substring(F.sha1(seed), 1, 10), 16, 10).cast("double") / float(1 << 40)
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mixture(documents: DataFrame, rates: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """(mix_id, doc_id, source, copy): the documents of every mix, repeated ones with copy numbers 1, 2, ..."""
+    """(mix_id, doc_id, source, copy): the documents of every mix, repeated ones with copy numbers 1, 2, ...; with the size n if documents has it."""
     r = broadcast_if_small(rates.select("mix_id", F.col("source_key").alias("source"), "rate").where("rate > 0"), MAX_TARGETS)
-    docs = documents.select("doc_id", spelling(F.col("source")).alias("source"))
+    docs = documents.select("doc_id", spelling(F.col("source")).alias("source"), *[c for c in documents.columns if c == "n"])
     n = copies(F.col("rate"), F.concat_ws("|", F.lit(seed), "mix_id", F.col("doc_id").cast("string")))
-    return docs.join(r, "source").withColumn("_n", n).where("_n > 0").select("mix_id", "doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    out = docs.join(r, "source").withColumn("_n", n).where("_n > 0")
+    return out.select("mix_id", "doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"), *[c for c in docs.columns if c == "n"])

@@ -1,8 +1,9 @@
 """Samples that match target shares of categories.
 
 Seats are allocated per frame by largest remainder, between a floor (min_seats, or what there is) and a cap (the
-usable candidates); what a capped category can't take goes to the others in proportion. The candidates with the
-smallest seeded hashes are drawn, so a draw depends on neither row order nor partitioning.
+usable candidates); what a capped category can't take goes to the others in proportion. A category with a target share of 0 gets
+its floor and no more. frame_gap tells by how many seats a frame misses its total: above 0 where caps leave seats unfilled, below 0 where
+floors ask for more than the total. The candidates with the smallest seeded hashes are drawn, so a draw depends on neither row order nor partitioning.
 
 Null or empty frames, categories and candidates are not usable. Repeated candidates count once. Categories without
 a target are not drawn. Targets without candidates get no seat and are reported. Empty tables give empty results.
@@ -17,18 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import repo_key, spelling, strip
 
-SALTS = 64
+BUCKET_DIGITS = 3  # hex digits of the hash that make 4,096 ranges
 
 
 def apportion(share: np.ndarray, floor: np.ndarray, cap: np.ndarray, total: int) -> np.ndarray:
     """Whole seats within [floor, cap] (floors first cut to the caps) that sum to total where caps and floors allow.
 
     Seats follow clip(share * x) for the x at which they sum to total; the remainders go to the largest fractions,
-    ties to the earlier category.
+    ties to the earlier category. A share of 0 takes its floor alone.
     """
-    low, high = np.minimum(floor, cap).astype(float), cap.astype(float)
-    goal = min(max(total, low.sum()), high.sum())
     weight = np.where(share > 0, share, 0.0)
+    low = np.minimum(floor, cap).astype(float)
+    high = np.where(weight > 0, cap, low).astype(float)
+    goal = min(max(total, low.sum()), high.sum())
     a, b = 0.0, 1.0
     while np.clip(weight * b, low, high).sum() < goal and b < 1e18:
         b *= 2
@@ -39,8 +41,8 @@ def apportion(share: np.ndarray, floor: np.ndarray, cap: np.ndarray, total: int)
     seats = np.floor(exact + 1e-6)
     order = np.argsort(-np.round(exact - seats, 6), kind="stable")
     left = int(round(goal - seats.sum()))
-    for i in [*order, *order] if left > 0 else []:  # a second round for categories without a share but with room
-        if left and seats[i] < high[i]:
+    for i in order:
+        if left > 0 and seats[i] < high[i]:
             seats[i], left = seats[i] + 1, left - 1
     return seats.astype("int64")
 
@@ -55,9 +57,9 @@ def usable_repos(targets: DataFrame) -> DataFrame:
 
 
 def quotas(usable: DataFrame, draw_quota: DataFrame) -> DataFrame:
-    """(frame, linkage, target, min_seats, available, seats, short): one row per row of draw_quota.
+    """(frame, linkage, target, min_seats, available, seats, short, frame_gap): one row per row of draw_quota.
 
-    target is share * n_total; short tells by how many the usable repos miss the larger of min_seats and target.
+    target is share * n_total; short tells by how many the usable repos, which cap the seats, miss the larger of min_seats and target.
     Allocation is one small group per frame: its categories.
     """
     available = usable.groupBy("frame", "linkage").agg(F.count(F.lit(1)).alias("available"))
@@ -73,21 +75,27 @@ def quotas(usable: DataFrame, draw_quota: DataFrame) -> DataFrame:
     schema = "frame string, label string, linkage string, share double, min_seats int, n_total int, available long, seats long"
     out = q.select("frame", "label", "linkage", "share", "min_seats", "n_total", "available").groupBy("frame").applyInPandas(allocate, schema)
     target = F.col("share") * F.col("n_total")
+    frame = Window.partitionBy("frame")
     need = F.greatest(F.coalesce(target, F.lit(0.0)), F.coalesce(F.col("min_seats").cast("double"), F.lit(0.0)))
     return out.select(
         "frame", F.col("label").alias("linkage"), F.col("linkage").alias("linkage_key"), F.round(target, 6).alias("target"), "min_seats", "available", "seats",
         F.greatest(F.round(need - F.col("available"), 6), F.lit(0.0)).alias("short"),
+        (F.max(F.coalesce("n_total", F.lit(0))).over(frame) - F.sum("seats").over(frame)).alias("frame_gap"),
     )
 
 
 def draw(usable: DataFrame, seats: DataFrame, seed: str = "draw-1") -> DataFrame:
     """(frame, linkage, repo, rank): for each category the `seats` candidates with the smallest seeded hashes.
 
-    Each category is first cut to its seats within each of SALTS parts, so no task sorts all of a large category.
+    Hashes fall into BUCKETS ranges in order. Counts per range tell how many candidates stand before each, so ranges beyond the seats are
+    left out and ranks need only the order within a range; no task sorts a large category, however many seats it has.
     """
     key = F.sha2(F.concat_ws("|", F.lit(seed), "frame", "linkage", "repo"), 256)
     q = seats.select("frame", F.col("linkage_key").alias("linkage"), "seats").where("seats > 0")
-    rows = usable.join(q, ["frame", "linkage"]).withColumn("_k", key).withColumn("_salt", F.pmod(F.xxhash64("repo"), F.lit(SALTS)))
-    local = rows.withColumn("_r", F.row_number().over(Window.partitionBy("frame", "linkage", "_salt").orderBy("_k", "repo"))).where("_r <= seats")
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("frame", "linkage").orderBy("_k", "repo"))).where("rank <= seats")
+    rows = usable.withColumn("_k", key).withColumn("_bucket", F.substring("_k", 1, BUCKET_DIGITS))
+    before = F.sum("_n").over(Window.partitionBy("frame", "linkage").orderBy("_bucket")) - F.col("_n")
+    counts = rows.groupBy("frame", "linkage", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before)
+    some = counts.join(q, ["frame", "linkage"]).where("_before < seats").drop("_n")
+    local = F.row_number().over(Window.partitionBy("frame", "linkage", "_bucket").orderBy("_k", "repo"))
+    ranked = rows.join(some, ["frame", "linkage", "_bucket"]).withColumn("rank", F.col("_before") + local).where("rank <= seats")
     return ranked.select("frame", F.upper("linkage").alias("linkage"), "repo", "rank")

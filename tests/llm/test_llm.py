@@ -90,6 +90,14 @@ def test_apportionment_properties():
     assert list(sampling.apportion(np.array([1, 1, 1]) / 3, np.zeros(3, int), np.full(3, 99), 5)) == [2, 2, 1]
 
 
+def test_zero_targets_and_floors_beyond_the_total(spark):
+    assert list(sampling.apportion(np.array([0.9, 0.0]), np.zeros(2, int), np.array([10, 1000]), 100)) == [10, 0]
+    assert list(sampling.apportion(np.array([0.5, 0.5]), np.array([8, 8]), np.array([20, 20]), 10)) == [8, 8]
+    usable = spark.createDataFrame([("f", "a", f"r{i}") for i in range(20)] + [("f", "b", f"s{i}") for i in range(20)] + [("g", "a", "t")], "frame string, linkage string, repo string")
+    quota = spark.createDataFrame([("f", "A", 0.5, 8, 10), ("f", "B", 0.5, 8, 10), ("g", "A", 1.0, 0, 5)], QUO)
+    assert {(r.frame, r.seats, r.frame_gap) for r in sampling.quotas(usable, quota).collect()} == {("f", 8, -6), ("g", 1, 4)}
+
+
 TGT = "target_id long, frame string, repo string, sha string, linkage string, state string, share double"
 QUO = "frame string, linkage string, share double, min_seats int, n_total int"
 
@@ -125,6 +133,9 @@ def test_mixture_shares(spark):
     assert p["big_source"].rate == pytest.approx(0.8 * 421 / 400) and not p["big_source"].is_short
     assert p["small_source"].rate == pytest.approx(0.1 * 421 / 20) and not p["small_source"].is_short
     assert p["absent"].is_short and p["absent"].rate == 0
+    reached = {r.source: r for r in mixing.reached_shares(mixing.document_sizes(docs, mixing.token_count(spark)), targets).collect()}
+    emitted = mixing.mixture(mixing.document_sizes(docs, mixing.token_count(spark)), mixing.plan(sizes, targets)).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    assert {r.source: r.n for r in emitted} == {k: r.emitted for k, r in reached.items() if r.emitted} and sum(r.reached for r in reached.values()) == pytest.approx(1)
     m = mixing.mixture(docs, mixing.plan(sizes, targets)).toPandas()
     assert 28 <= len(m[m.source == "small_source"]) <= 56 and m["copy"].max() <= 3
     assert m.groupby("doc_id")["copy"].max().eq(m.groupby("doc_id").size()).all()
