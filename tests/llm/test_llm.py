@@ -55,6 +55,17 @@ def test_consensus_finds_the_truth(spark):
     assert set(got.field) == {"is_api_use", "value_fate", "RX1_C1"}
 
 
+def test_partners_and_few_shared_items(spark):
+    """All partners give the same model as the default while annotators are few; one that shares three items is estimated from them."""
+    _, rows = annotations(300, 8)
+    rows += [(10**6 + i, "late", r[2], r[3], [], "NA", None, T0, T0, None) for i, r in enumerate([r for r in rows if r[1] == "g1"][:3])]
+    items = consensus.items_of(consensus.task_marks(consensus.latest_marks(spark.createDataFrame(rows, ANN)))).cache()
+    pick = lambda m: sorted((r.task, r.annotator, r.label, round(r.knows, 6)) for r in m.collect())
+    whole = pick(consensus.reliability(items, partners=None))
+    assert whole == pick(consensus.reliability(items)) and any(a == "late" and k > 0.5 for _, a, _, k in whole)
+    assert len(consensus.reliability(items, partners=2).select("annotator").distinct().collect()) == 7
+
+
 def test_latest_mark_counts_and_nulls_are_no_marks(spark):
     later = T0 + dt.timedelta(days=1)
     rows = [
