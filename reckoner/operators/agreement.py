@@ -99,3 +99,43 @@ def rater_pairs(df: DataFrame, item: list[str], rater: str, mark: Column, cluste
     all_of = one.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct(F.col(rater).alias("r"), F.col("_x.m").alias("m"), F.col("_x.c").alias("c")))).alias("_l")).where(F.size("_l") > 1)
     pairs = F.flatten(F.transform("_l", lambda x, i: F.transform(F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(x["r"].alias("rater_a"), y["r"].alias("rater_b"), F.array(x["m"], y["m"]).alias("marks"), x["c"].alias("cluster")))))
     return all_of.select(*item, F.explode(pairs).alias("_p")).select("_p.rater_a", "_p.rater_b", *item, "_p.marks", "_p.cluster")
+
+
+def field_marks(latest: DataFrame, item: str, rater: str) -> DataFrame:
+    """(field, item, rater, mark, universe): a row per record and rated field of an annotation table with one record per item and rater.
+
+    universe names the items that a field is rated on: ALL, SOME_YES (not every rater of the item says NO), ALT (some record is of that class) or
+    ALL_YES. An absent mark is a category of its own.
+    """
+    api = category(F.col("is_api_use"))
+    fate, escape = set_category(F.coalesce("value_fate", F.array().cast("array<string>"))), F.when(F.col("escape_info").isNull(), "NO_ESCAPE").otherwise(
+        F.concat_ws("|", category(F.col("escape_info.kind")), category(F.col("escape_info.value")))
+    )
+    one = lambda name, universe, mark: F.struct(F.lit(name).alias("field"), F.lit(universe).alias("universe"), mark.alias("mark"))
+    scalar = lambda c: category(F.col(c))
+    fields = [one("is_api_use", "ALL", api), *[one(c, "ALL", scalar(c)) for c in ("operation", "unit_role", "declaring_unit")]]
+    layers = {"applicable_reason": scalar("applicable_reason"), "value_fate": fate, "escape": escape}
+    fields += [one(c, "SOME_YES", m) for c, m in layers.items()] + [one(c, "ALT", scalar(c)) for c in ("alt_equivalence", "exceeds_all_reasons")]
+    fields += [one(f"{c}|bothYES", "ALL_YES", m) for c, m in ({"operation": scalar("operation")} | layers).items()]
+    return latest.select(item, rater, api.alias("_api"), F.col("site_class").alias("_class"), F.explode(F.array(*fields)).alias("f")).select(item, rater, "_api", "_class", "f.*")
+
+
+def pair_fields(latest: DataFrame, item: str, rater: str) -> DataFrame:
+    """(rater_a, rater_b, field, item, marks): every two raters of an item on every field, within the field's universe for these two."""
+    marks = field_marks(latest, item, rater)
+    row = F.struct(F.col(rater).alias("r"), F.col("mark").alias("m"), F.col("_api").alias("api"), F.col("_class").alias("c"))
+    lists = marks.groupBy(item, "field", "universe").agg(F.array_sort(F.collect_list(row)).alias("l")).where(F.size("l") > 1)
+    two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    p = lists.select(item, "field", "universe", F.explode(two).alias("p")).select(item, "field", "universe", "p.x", "p.y")
+    x, y = F.col("x"), F.col("y")
+    inside = (
+        F.when(F.col("universe") == "SOME_YES", ~((x["api"] == "NO") & (y["api"] == "NO"))).when(F.col("universe") == "ALL_YES", (x["api"] == "YES") & (y["api"] == "YES"))
+        .when(F.col("universe") == "ALT", F.coalesce(x["c"] == "ALT", F.lit(False)) | F.coalesce(y["c"] == "ALT", F.lit(False))).otherwise(F.lit(True))
+    )
+    return p.where(inside).select(x["r"].alias("rater_a"), y["r"].alias("rater_b"), "field", item, F.array(x["m"], y["m"]).alias("marks"))
+
+
+def only_in_one(latest: DataFrame, item: str, rater: str) -> DataFrame:
+    """(rater, n_items, n_alone): the items of each rater, and those that no other rater has."""
+    per = latest.groupBy(item).agg(F.collect_set(rater).alias("_r"))
+    return per.select(F.explode("_r").alias(rater), (F.size("_r") == 1).alias("_one")).groupBy(rater).agg(F.count(F.lit(1)).alias("n_items"), F.count_if("_one").alias("n_alone"))

@@ -34,3 +34,18 @@ def draw_by_seats(df: DataFrame, seats: DataFrame, keys: list[str], order: list[
 def census(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     """df exploded by the reasons that a row meets; rows that meet none are left out."""
     return df.withColumn("reason", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in reasons.items()]))))
+
+
+def floored_seats(sizes: DataFrame, label: str, size: str, total: int, floor: int) -> DataFrame:
+    """(label, size, seats): min(floor, size) seats for each, the rest by largest remainder in proportion to the room that is left.
+
+    A label never gets more than it has, since its share of the room is at most its room. Labels are few beside rows; their number bounds the window.
+    The frame is empty if the floors alone ask for more than total; all rows are taken if total exceeds them.
+    """
+    x = sizes.where(F.col(size) > 0).select(label, size, F.least(F.col(size), F.lit(floor)).cast("long").alias("_low"))
+    sums = x.agg(F.coalesce(F.sum("_low"), F.lit(0)).alias("_base"), F.coalesce(F.sum(F.col(size)), F.lit(0)).alias("_all"))
+    x = x.crossJoin(F.broadcast(sums)).where(F.col("_base") <= total)
+    room = x.withColumn("_room", F.col(size) - F.col("_low"))
+    left = F.least(F.lit(total), F.col("_all")) - F.col("_base")
+    extra = largest_remainder(room, [], label, "_room", left).select(F.col(label).alias("_l"), F.col("seats").alias("_extra"))
+    return room.join(extra, F.col(label) == F.col("_l")).select(label, size, (F.col("_low") + F.col("_extra")).alias("seats"))

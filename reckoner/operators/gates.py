@@ -30,6 +30,27 @@ def gate(df: DataFrame, keys: list[str], requirements: dict[str, Column]) -> Dat
     return agg.select(*keys, (F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
+def comparable(df: DataFrame, keys: list[str], config: str, base, reason: str, ok: str, equal: dict[str, str]) -> DataFrame:
+    """df (one row per key and configuration) with `reason` replaced where a good row can't be compared with the base of its key.
+
+    equal maps a column to the reason if a row differs there from its base, in order; a base without a value, or no base at all, hinders nothing.
+    """
+    b = df.where(F.col(config) == base).select(*keys, *[F.col(c).alias(f"_b_{c}") for c in equal])
+    changed = F
+    for c, why in equal.items():
+        changed = changed.when(F.col(f"_b_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_b_{c}")), why)
+    looked_at = (F.col(reason) == ok) & (F.col(config) != base)
+    return df.join(b, keys, "left").withColumn(reason, F.when(looked_at, F.coalesce(changed.otherwise(F.lit(None)), F.col(reason))).otherwise(F.col(reason))).drop(*[f"_b_{c}" for c in equal])
+
+
+def complete(df: DataFrame, keys: list[str], config: str, required: list, reason: str, ok: str, missing: str) -> DataFrame:
+    """(keys, complete, excluded): excluded maps each required configuration that is not ok to its reason; one without a row has the reason `missing`."""
+    have = df.where(F.col(config).isin(required)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(config), F.coalesce(F.col(reason), F.lit(missing))))).alias("_have"))
+    every = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.coalesce(F.try_element_at("_have", F.lit(c)), F.lit(missing))) for c in required]))
+    bad = F.map_filter(every, lambda _, r: r != ok)
+    return have.select(*keys, (F.size(bad) == 0).alias("complete"), bad.alias("excluded"))
+
+
 def paired_compare(df: DataFrame, keys: list[str], config: str, base, metrics: list[str]) -> DataFrame:
     """(keys, config, metric, base_value, value) for metrics of each configuration that differ from the base of its key."""
     entry = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))

@@ -14,6 +14,17 @@ def reconcile_sets(declared: DataFrame, observed: DataFrame, keys: list[str]) ->
     return a.join(b, keys, "full").select(*keys, v.alias("verdict"))
 
 
+def reconcile_content(source: DataFrame, shipped: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, verdict): IDENTICAL or DIFFERENT by hash where both tables have the key, else SOURCE_ONLY or SHIPPED_ONLY.
+
+    A key that stands repeatedly is identical if some of its contents are the same on both sides; null contents are the empty content.
+    """
+    digest = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.sha2(F.coalesce(F.col(content), F.lit("")), 256)).alias(name))
+    a, b = digest(source, "_a"), digest(shipped, "_b")
+    verdict = F.when(F.col("_b").isNull(), "SOURCE_ONLY").when(F.col("_a").isNull(), "SHIPPED_ONLY").when(F.arrays_overlap("_a", "_b"), "IDENTICAL").otherwise("DIFFERENT")
+    return a.join(b, key, "full").select(key, verdict.alias("verdict"))
+
+
 def nearest_ancestor(paths: DataFrame, path: str, owners: DataFrame, owner: str) -> DataFrame:
     """paths with `nearest`: the deepest owner directory that is an ancestor of the path, null if there is none.
 

@@ -662,3 +662,87 @@ def q52_line_kinds(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.jsonl import line_kind
 
     return table(spark, d, "annotation_raw").groupBy(line_kind(F.col("raw")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- all fields, all raters; content, floors, comparable rows ---------------------------------------------------
+
+_NONE = "coalesce({0}::VARCHAR, 'NONE')"
+_FATE = "'{' || array_to_string(list_sort(list_distinct(list_filter(coalesce(value_fate, []), lambda x: x IS NOT NULL))), ',') || '}'"
+_ESC = "CASE WHEN escape_info IS NULL THEN 'NO_ESCAPE' ELSE coalesce(escape_info.kind, 'NONE') || '|' || coalesce(escape_info.value, 'NONE') END"
+_FIELD_SQL = [(c, "ALL", _NONE.format(c)) for c in ("operation", "unit_role", "declaring_unit")]
+_LAYER_SQL = {"applicable_reason": _NONE.format("applicable_reason"), "value_fate": _FATE, "escape": _ESC}
+_FIELD_SQL = [("is_api_use", "ALL", "api"), *_FIELD_SQL, *[(c, "SOME_YES", m) for c, m in _LAYER_SQL.items()], *[(c, "ALT", _NONE.format(c)) for c in ("alt_equivalence", "exceeds_all_reasons")]]
+_FIELD_SQL += [(f"{c}|bothYES", "ALL_YES", m) for c, m in ({"operation": _NONE.format("operation")} | _LAYER_SQL).items()]
+_ALL_FIELDS = _LAST + f""", b AS (SELECT *, coalesce({_API}, 'NONE') AS api FROM a WHERE pass_name IS NOT NULL),
+f AS ({" UNION ALL ".join(f"SELECT pass_name AS p, sid, api, site_class, '{n}' AS field, '{u}' AS universe, {m} AS m FROM b" for n, u, m in _FIELD_SQL)}),
+i AS (SELECT l.p AS rater_a, r.p AS rater_b, l.field, l.sid, l.m AS a, r.m AS b FROM f l JOIN f r ON l.sid = r.sid AND l.field = r.field AND l.p < r.p
+  WHERE CASE l.universe WHEN 'SOME_YES' THEN NOT (l.api = 'NO' AND r.api = 'NO') WHEN 'ALL_YES' THEN l.api = 'YES' AND r.api = 'YES' WHEN 'ALT' THEN coalesce(l.site_class = 'ALT', false) OR coalesce(r.site_class = 'ALT', false) ELSE true END)"""
+
+
+def _latest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each pass's latest record of each site, whole, with is_api_use in one spelling."""
+    a = table(spark, d, "annotation").where("site_id is not null and pass_name is not null").withColumn("sid", F.lower(strip(F.col("site_id"))))
+    keep = ["site_class", "operation", "unit_role", "declaring_unit", "applicable_reason", "value_fate", "escape_info", "alt_equivalence", "exceeds_all_reasons"]
+    m = F.struct(F.upper(strip(F.col("is_api_use"))).alias("is_api_use"), *keep)
+    return a.groupBy("pass_name", "sid").agg(F.max_by(m, F.struct("annotated_at", "loaded_at", "ann_id")).alias("m")).select("pass_name", "sid", "m.*")
+
+
+@query(_ALL_FIELDS + _COEF.format(g="rater_a, rater_b, field,", by="GROUP BY rater_a, rater_b, field", j="JOIN", u="USING (rater_a, rater_b, field)"))
+def q53_field_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of every two passes on every rated field, each within its universe."""
+    return agreement.coefficients(agreement.pair_fields(_latest_whole(spark, d), "sid", "pass_name"), [*BY, "field"])
+
+
+@query(_LAST + ", c AS (SELECT sid, count(DISTINCT pass_name) AS n FROM a WHERE pass_name IS NOT NULL GROUP BY 1) SELECT pass_name, count(*) AS n_items, count_if(n = 1) AS n_alone FROM a JOIN c USING (sid) WHERE pass_name IS NOT NULL GROUP BY 1")
+def q54_only_in_one(spark: SparkSession, d: str) -> DataFrame:
+    return agreement.only_in_one(_latest(spark, d).where("pass_name is not null"), "sid", "pass_name")
+
+
+@query("WITH r AS (" + ORACLE["q26_bootstrap_pairs"] + """), o AS (SELECT rater_a, rater_b, fleiss, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY rater_a, rater_b) AS n FROM r WHERE fleiss IS NOT NULL WINDOW w AS (PARTITION BY rater_a, rater_b ORDER BY fleiss))
+SELECT rater_a, rater_b, max(n) AS n, max(CASE WHEN i = least(floor(0.025 * n), n - 1) THEN fleiss END) AS low, max(CASE WHEN i = least(floor(0.975 * n), n - 1) THEN fleiss END) AS high FROM o GROUP BY ALL""")
+def q55_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The middle 95 percent of the bootstrap replicates of every two passes, by nearest rank."""
+    return gates.nearest_rank(q26_bootstrap_pairs(spark, d), BY, "fleiss", {"low": 0.025, "high": 0.975})
+
+
+@query("""WITH u AS (SELECT unit_location, count(*) AS n FROM (SELECT DISTINCT site_id, unit_location FROM site WHERE unit_location IS NOT NULL AND site_id IS NOT NULL) GROUP BY 1),
+b AS (SELECT *, least(n, 2) AS low, n - least(n, 2) AS room FROM u), s AS (SELECT *, sum(low) OVER () AS base, least(450, sum(n) OVER ()) - sum(low) OVER () AS extra, sum(room) OVER () AS rooms FROM b),
+x AS (SELECT *, CASE WHEN rooms > 0 THEN extra * room / rooms ELSE 0 END AS e FROM s WHERE base <= 450), f AS (SELECT *, floor(e) AS f, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, unit_location) AS r, CASE WHEN rooms > 0 THEN extra - sum(floor(e)) OVER () ELSE 0 END AS rest FROM x)
+SELECT unit_location, n, CAST(low + f + (r <= rest)::INT AS BIGINT) AS seats FROM f""")
+def q56_floored_seats(spark: SparkSession, d: str) -> DataFrame:
+    """Two sites of every unit and the rest of 450 in proportion to what is left."""
+    sizes = table(spark, d, "site").where("unit_location is not null and site_id is not null").select("site_id", "unit_location").distinct().groupBy("unit_location").agg(F.count(F.lit(1)).alias("n"))
+    return apportion.floored_seats(sizes, "unit_location", "n", 450, 2)
+
+
+_PAIRS_SQL = "SELECT u AS unit_location, string_agg(DISTINCT cat || '=' || reason, ';' ORDER BY cat || '=' || reason) AS c FROM ({0}) WHERE reason IS NOT NULL GROUP BY 1"
+
+
+@query(f"""WITH a AS ({_PAIRS_SQL.format(_DECL.format(col='declares', t='batch'))}), b AS ({_PAIRS_SQL.format(_DECL.format(col='declared_reasons', t='site'))})
+SELECT unit_location, CASE WHEN b.c IS NULL THEN 'SOURCE_ONLY' WHEN a.c IS NULL THEN 'SHIPPED_ONLY' WHEN sha256(a.c) = sha256(b.c) THEN 'IDENTICAL' ELSE 'DIFFERENT' END AS verdict FROM a FULL JOIN b USING (unit_location)""")
+def q57_content_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the reasons that a unit declares in its batches and in its sites are the same, by hash of their sorted pairs."""
+    def content(t: str, c: str) -> DataFrame:
+        e = table(spark, d, t).where("unit_location is not null").select("unit_location", F.explode(c).alias("category", "rs")).select("unit_location", "category", F.explode("rs").alias("reason"))
+        pair = F.concat_ws("=", "category", "reason")
+        return e.where("reason is not null").groupBy("unit_location").agg(F.array_join(F.array_sort(F.collect_set(pair)), ";").alias("c"))
+
+    return reconcile.reconcile_content(content("batch", "declares"), content("site", "declared_reasons"), "unit_location", "c")
+
+
+_REPO = "nullif(regexp_replace(lower(regexp_replace(repo, '^\\s+|\\s+$', '', 'g')), '(\\.git|/)+$', ''), '')"
+
+
+@query(f"""WITH t AS (SELECT {_REPO} AS r, frame, target_id, sha, state FROM targets WHERE frame IS NOT NULL), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, frame ORDER BY coalesce(state = 'CANDIDATE', false) DESC, target_id DESC) AS n FROM t WHERE r IS NOT NULL) WHERE n = 1),
+b AS (SELECT r, min(frame) AS base FROM l GROUP BY 1), j AS (SELECT l.*, base FROM l JOIN b USING (r)), k AS (SELECT j.*, x.sha AS base_sha FROM j LEFT JOIN l x ON x.r = j.r AND x.frame = j.base)
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(state, '') <> 'CANDIDATE' THEN 'NOT_CANDIDATE' WHEN coalesce(sha, '') = '' THEN 'NO_SHA' WHEN frame <> base AND base_sha IS NOT NULL AND sha <> base_sha THEN 'SHA_MISMATCH' ELSE 'OK' END AS reason FROM k) GROUP BY 1""")
+def q58_comparable(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of a repo in later frames, held against its first frame: good ones of another commit can't be compared."""
+    from ..functions.text import repo_key
+
+    t = table(spark, d, "targets").where("frame is not null").select(repo_key(F.col("repo")).alias("r"), "frame", "target_id", "sha", "state").where("r is not null")
+    t = gates.last_ok_wins(t, ["r", "frame"], F.col("state") == "CANDIDATE", [F.col("target_id")])
+    first = t.groupBy("r").agg(F.min("frame").alias("base"))
+    reason = ladders.ladder([("NOT_CANDIDATE", F.coalesce("state", F.lit("")) != "CANDIDATE"), ("NO_SHA", F.coalesce("sha", F.lit("")) == "")], "OK")
+    t = t.join(first, "r").withColumn("config", F.when(F.col("frame") == F.col("base"), "base").otherwise("later")).withColumn("reason", reason)
+    return gates.comparable(t, ["r"], "config", "base", "reason", "OK", {"sha": "SHA_MISMATCH"}).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is taken.
+    Only where that setting is absent on a local master (tests, a laptop) a temporary folder of this machine is taken; on a cluster
+    its absence is an error, since executors don't share such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-reckoner-"))
     return sc.getCheckpointDir()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.ladders import ladder
 
 # Fixed value: how an output file's name gives its unit, tree and name parted by two underscores.
-UNIT_IN_NAME = r"[a-z]\d+__([a-z]+)__(.+?)(?:\.out)?\.jsonl$"
+UNIT_IN_NAME = r"^[ab]\d+__([a-z]+)__(.+?)(?:\.out)?\.jsonl$"
 
 
 def line_kind(line: Column) -> Column:
@@ -24,8 +24,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ln, line, kind, unit): the numbered lines of every file below path."""
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ln", "line")).withColumn("ln", F.col("ln") + 1)
-    unit = F.concat_ws("/", F.regexp_extract("file", UNIT_IN_NAME, 1), F.regexp_extract("file", UNIT_IN_NAME, 2))
-    return rows.withColumn("kind", line_kind(F.col("line"))).withColumn("unit", F.when(F.col("file").rlike(UNIT_IN_NAME), unit))
+    name = F.substring_index("file", "/", -1)
+    unit = F.concat_ws("/", F.regexp_extract(name, UNIT_IN_NAME, 1), F.regexp_extract(name, UNIT_IN_NAME, 2))
+    return rows.withColumn("kind", line_kind(F.col("line"))).withColumn("unit", F.when(name.rlike(UNIT_IN_NAME), unit))
 
 
 def header_and_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

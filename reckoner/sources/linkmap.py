@@ -11,10 +11,10 @@ from ..operators.ladders import ladder
 # The comment lines that open a section of a map, and the row pattern of each section.
 MARKERS = {"# Object files:": "objects", "# Sections:": "sections", "# Symbols:": "symbols", "# Dead Stripped Symbols:": "dead"}
 ROW = {
-    "objects": r"^\[\s*(\d+)\]\s+(.+)$",
+    "objects": r"^\[\s*(\d+)\]\s(.*)$",
     "sections": r"^0x([0-9A-Fa-f]+)\t0x([0-9A-Fa-f]+)\t(\S+)\t(\S+)$",
     "symbols": r"^0x([0-9A-Fa-f]+)\t0x([0-9A-Fa-f]+)\t\[\s*(\d+)\]\s(.*)$",
-    "dead": r"^<<dead>>\s*\t0x([0-9A-Fa-f]+)\t\[\s*(\d+)\]\s(.*)$",
+    "dead": r"^<<dead>>\t0x([0-9A-Fa-f]+)\t\[\s*(\d+)\]\s(.*)$",
 }
 # Folders below Pods/ that are no pods.
 POD_SCAFFOLD = ["Target Support Files", "Headers", "Local Podspecs", "Pods.xcodeproj"]
@@ -47,12 +47,11 @@ def _rows(tagged: DataFrame, section: str) -> tuple[DataFrame, list[Column]]:
 
 
 def objects(tagged: DataFrame) -> DataFrame:
-    """(map_id, idx, path, unit, kind, rule): first rule that fits wins; LTO output has no unit; no fit is UNKNOWN."""
+    """(map_id, idx, path, unit, kind, rule, archive, member, archive_name_agrees, target, project): first rule that fits wins; LTO output has no unit; no fit is UNKNOWN."""
     rows, (idx, path) = _rows(tagged, "objects")
     o = rows.select("map_id", idx.cast("int").alias("idx"), path.alias("path"))
     p = F.col("path")
-    archive = F.regexp_extract(p, r"^(.*/([^/]+)\.a)\((.+)\)$", 1)
-    lib = F.regexp_extract(p, r"^(.*/([^/]+)\.a)\((.+)\)$", 2)
+    archive, lib, member = (F.regexp_extract(p, r"^(.*/([^/]+)\.a)\(([^)]+)\)$", n) for n in (1, 2, 3))
     pod = F.regexp_extract(archive, r"/Pods/([^/]+)/", 1)
     folder = F.regexp_extract(archive, r"/Build/Products/[^/]+/([^/]+)/[^/]+\.a$", 1)
     target = F.regexp_extract(p, r"/Intermediates\.noindex/[^/]+\.build/[^/]+/([^/]+)\.build/.*?/[^/]+\.o$", 1)
@@ -78,7 +77,16 @@ def objects(tagged: DataFrame) -> DataFrame:
     for name, _, u, k in rungs:
         unit = F.when(F.col("rule") == name, u if u is not None else F.lit(None).cast("string")).otherwise(unit)
         kind = F.when(F.col("rule") == name, k).otherwise(kind)
-    return o.select("map_id", "idx", "path", unit.alias("unit"), kind.alias("kind"), "rule")
+    some = lambda c, when=F.lit(True): F.when((c != "") & when, c)
+    made = F.col("rule") == "TARGET_INTERMEDIATE"
+    intermediate = r"/Intermediates\.noindex/([^/]+)\.build/[^/]+/([^/]+)\.build/.*?/([^/]+\.o)$"
+    stem = F.regexp_extract(p, r"/Objects-normal/[^/]+/([^/]+)_lto\.o$", 1)
+    agrees = F.when(F.col("rule").isin("POD_VENDORED_ARCHIVE", "POD_BUILT_FROM_SOURCE", "BUILT_PRODUCT_ARCHIVE"), lib == F.concat(F.lit("lib"), unit))
+    return o.select(
+        "map_id", "idx", "path", unit.alias("unit"), kind.alias("kind"), "rule", some(lib).alias("archive"),
+        F.coalesce(some(member), some(F.regexp_extract(p, intermediate, 3), made)).alias("member"), agrees.alias("archive_name_agrees"),
+        F.when(F.col("rule") == "LTO_OUTPUT", F.coalesce(some(F.regexp_extract(p, intermediate, 2)), stem)).alias("target"), some(F.regexp_extract(p, intermediate, 1), made).alias("project"),
+    )
 
 
 def sections(tagged: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ def write_json_by(df: DataFrame, key: str, path: str, mode: str = "errorifexists
 
 
 def write_batches(headers: DataFrame, rows: DataFrame, batch: str, order: list[str], path: str) -> None:
-    """Text files in which each batch is its header followed by its rows in order, batches kept whole within a file."""
-    h = headers.select(F.col(batch).alias("_b"), F.lit(0).alias("_n"), F.to_json(F.struct(*headers.columns)).alias("value"), *[F.lit(None).cast("string").alias(f"_o{i}") for i in range(len(order))])
-    r = rows.select(F.col(batch).alias("_b"), F.lit(1).alias("_n"), F.to_json(F.struct(*rows.columns)).alias("value"), *[F.col(c).cast("string").alias(f"_o{i}") for i, c in enumerate(order)])
+    """Text files in which each batch is its header followed by its rows in order (columns in their own types), batches kept whole within a file."""
+    r = rows.select(F.col(batch).alias("_b"), F.lit(1).alias("_n"), F.to_json(F.struct(*rows.columns)).alias("value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    none = [F.lit(None).cast(r.schema[f"_o{i}"].dataType).alias(f"_o{i}") for i in range(len(order))]
+    h = headers.select(F.col(batch).alias("_b"), F.lit(0).alias("_n"), F.to_json(F.struct(*headers.columns)).alias("value"), *none)
     every = h.unionByName(r).repartition("_b").sortWithinPartitions("_b", "_n", *[f"_o{i}" for i in range(len(order))])
     every.select("value").write.text(path)
 
