@@ -30,14 +30,15 @@ def pair_items(df: DataFrame, item: list[str], rater: str, mark: Column, raters:
 def coefficients(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, k, po, fleiss, ac1, pabak) for items with two or more marks each, m being the same within a group.
 
-    One pass: per group the number of items, the agreeing pairs and the count of each category.
+    Items are first counted by their marks, a few rows; agreeing pairs and the count of each category follow from these.
     """
+    items = items.groupBy(*by, "marks").agg(F.count(F.lit(1)).alias("_n"))
     m = F.size("marks")
     cats = F.array_distinct("marks")
     same = F.aggregate(cats, F.lit(0), lambda a, c: a + F.pow(F.size(F.filter("marks", lambda x: x == c)), 2).cast("int"))
     po = (same - m) / (m * (m - 1))
-    per = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(po).alias("po"))
-    counts = items.select(*by, F.explode("marks").alias("cat")).groupBy(*by, "cat").agg(F.count(F.lit(1)).alias("c"))
+    per = items.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(po * F.col("_n")) / F.sum("_n")).alias("po")).where("n > 0")
+    counts = items.select(*by, "_n", F.explode("marks").alias("cat")).groupBy(*by, "cat").agg(F.sum("_n").alias("c"))
     tot = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("ss"))
     x = per.join(tot, by) if by else per.crossJoin(tot)
     pe = F.col("ss") / (F.col("t") * F.col("t"))

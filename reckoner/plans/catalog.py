@@ -236,8 +236,7 @@ i AS (SELECT sid, tree, l.m AS a, r.m AS b FROM l JOIN r USING (sid))"""
 
 def _pair_items(spark: SparkSession, d: str) -> DataFrame:
     a = _latest(spark, d).where(F.col("pass_name").isin(*PAIR))
-    tree = a.groupBy("sid").agg(F.min(F.when(F.col("pass_name") == PAIR[0], F.substring_index("unit_location", "/", 1))).alias("tree"))
-    return agreement.pair_items(a, ["sid"], "pass_name", F.col("api"), list(PAIR)).join(tree, "sid")
+    return agreement.rater_pairs(a, ["sid"], "pass_name", F.col("api"), F.substring_index("unit_location", "/", 1)).withColumnRenamed("cluster", "tree")
 
 
 _COEF = """, mk AS (SELECT {g} a AS c FROM i UNION ALL SELECT {g} b FROM i), ct AS (SELECT {g} c, count(*) AS n FROM mk GROUP BY ALL), t AS (SELECT {g} count(*) AS k, sum(n) AS t, sum(n * n) AS ss FROM ct {by}),

@@ -173,3 +173,13 @@ def test_agreement_takes_every_pair_of_raters(spark):
     pairs = agreement.rater_pairs(spark.createDataFrame(rows, "item string, rater string, mark string"), ["item"], "rater", F.col("mark"))
     assert {(r.rater_a, r.rater_b, r.item, *r.marks) for r in pairs.collect()} == {("r1", "r2", "i1", "Y", "Y"), ("r1", "r9", "i1", "Y", "N"), ("r2", "r9", "i1", "Y", "N"), ("r2", "r9", "i2", "N", "N")}
     assert {(r.rater_a, r.rater_b, r.n) for r in agreement.cohen(pairs, ["rater_a", "rater_b"]).collect()} == {("r1", "r2", 1), ("r1", "r9", 1), ("r2", "r9", 2)}
+
+
+def test_chunks_of_many_files_and_units(spark):
+    """Numbers follow from counts per file and per prefix; ties in order columns and null files are kept."""
+    data = [(u, f, i % 3) for u in ("deps/aa", "deps/AB", "pods/zz", "deps/aaaaaaaaaaaa1", "deps/aaaaaaaaaaaa2") for f in (None, "x", "y") for i in range(5)] + [(None, "x", 1)]
+    df = spark.createDataFrame(data, "u string, f string, i int")
+    got = batching.chunk(df, "u", ["f", "i"], 4).toPandas()
+    assert len(got) == 75 and got.groupby("batch_no").size().max() <= 4 and sorted(got.batch_no.unique()) == list(range(1, 21))
+    first = got.groupby("u").batch_no.min().sort_values()
+    assert list(first.index) == sorted(first.index, key=lambda u: (u.lower(), u))
