@@ -73,7 +73,8 @@ def quotas(usable: DataFrame, draw_quota: DataFrame) -> DataFrame:
         return g.assign(seats=seats)
 
     schema = "frame string, label string, linkage string, share double, min_seats int, n_total int, available long, seats long"
-    out = q.select("frame", "label", "linkage", "share", "min_seats", "n_total", "available").groupBy("frame").applyInPandas(allocate, schema)
+    q = q.select("frame", "label", "linkage", "share", "min_seats", "n_total", "available").repartition(q.sparkSession.sparkContext.defaultParallelism, "frame")  # few rows, but work for each frame
+    out = q.groupBy("frame").applyInPandas(allocate, schema)
     target = F.col("share") * F.col("n_total")
     frame = Window.partitionBy("frame")
     need = F.greatest(F.coalesce(target, F.lit(0.0)), F.coalesce(F.col("min_seats").cast("double"), F.lit(0.0)))
