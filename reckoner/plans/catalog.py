@@ -745,3 +745,14 @@ def q58_comparable(spark: SparkSession, d: str) -> DataFrame:
     reason = ladders.ladder([("NOT_CANDIDATE", F.coalesce("state", F.lit("")) != "CANDIDATE"), ("NO_SHA", F.coalesce("sha", F.lit("")) == "")], "OK")
     t = t.join(first, "r").withColumn("config", F.when(F.col("frame") == F.col("base"), "base").otherwise("later")).withColumn("reason", reason)
     return gates.comparable(t, ["r"], "config", "base", "reason", "OK", {"sha": "SHA_MISMATCH"}).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH f AS (SELECT DISTINCT file FROM site WHERE file IS NOT NULL), o AS (SELECT regexp_replace(file, '/[^/]*$', '') AS dir FROM f WHERE contains(file, '/') GROUP BY 1 HAVING count(*) >= 5),
+p AS (SELECT file, string_split(file, '/') AS x FROM f), a AS (SELECT file, i, array_to_string(x[1:i], '/') AS dir FROM (SELECT file, x, unnest(range(1, len(x))) AS i FROM p)),
+h AS (SELECT file, arg_max(dir, i) AS nearest FROM a JOIN o USING (dir) GROUP BY 1) SELECT coalesce(nearest, 'NONE') AS nearest, count(*) AS n_files FROM f LEFT JOIN h USING (file) GROUP BY 1""")
+def q59_nearest_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that hold five files or more own what lies below them: the files that each owns as the deepest one."""
+    files = table(spark, d, "site").where("file is not null").select("file").distinct()
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    owners = files.where(F.col("file").contains("/")).groupBy(folder.alias("dir")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return reconcile.nearest_ancestor(files, "file", owners, "dir").groupBy(F.coalesce("nearest", F.lit("NONE")).alias("nearest")).agg(F.count(F.lit(1)).alias("n_files"))
