@@ -7,7 +7,8 @@ neighbouring files can be compared and all records unified. Between unknown keys
 values (flags, numbers) are alike by chance.
 
 Nulls, blank, comment, broken and non-object lines are no records. Of a key that a line repeats the last value counts (line_report counts such
-lines). A file delivered twice counts once. An empty table gives empty results. Extra columns are ignored.
+lines). A file delivered twice counts once. Lines without run_id, file_seq or file_name belong to no version and are left out. An empty table gives
+empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +126,8 @@ def profile(raw: DataFrame) -> DataFrame:
             rows += [(*k, None, None, None, None, n) for k, n in repeated.items()]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")]).astype({"run_id": "Int64", "file_seq": "Int32", "bin": "Int32", "least": "Int64", "repeated": "Int64"})
 
-    return spread(raw.select("run_id", "file_seq", "file_name", "raw")).mapInPandas(scan, PROFILE)
+    placed = raw.select("run_id", "file_seq", "file_name", "raw").dropna()  # a line without a run, place or file has no version
+    return spread(placed).mapInPandas(scan, PROFILE)
 
 
 def profile_files(rows: DataFrame) -> DataFrame:

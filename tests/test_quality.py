@@ -56,6 +56,13 @@ def test_unknown_keys_are_matched_between_versions(spark):
     }
 
 
+def test_lines_without_a_place_are_left_out(spark):
+    line = json.dumps(record())
+    df = spark.createDataFrame([(1, "f1", 1, 1, T0, line, ""), (1, "f2", 2, 1, T0, json.dumps(record(more=1)), ""), (None, "f3", 1, 1, T0, line, ""), (1, None, 3, 1, T0, line, ""), (1, "f4", None, 1, T0, line, "")], RAW)
+    assert {(r.file_name, r.field, r.change) for r in drift.schema_changes(df).collect()} == {("f2", "more", "ADDED")}
+    assert {r.file_name for r in drift.unify(df).collect()} == {"f1", "f2"}
+
+
 def test_repeated_keys_and_odd_values(spark):
     line = json.dumps(record(extra_key={}))[:-1] + ', "extra_key": [], "notes": "last"}'
     df = spark.createDataFrame(raw_rows([(1, 1, "f1", [record(extra_key={})]), (1, 2, "f2", [line, '{"x": NaN}', "{", "x" * 100_000])]), RAW)
