@@ -12,7 +12,7 @@ The corpus is read once. Items of up to MAX_ITEM_CHARS characters in all are cou
 Larger sets of items never meet the driver: they are cut into blocks of that size and documents into shards of SHARD_CHARS by hash, and each pair of
 shard and block is one group of a co-grouped shuffle. Frequent seeds need no shuffle of their own in either way.
 
-Null and empty texts match nothing; items shorter than LEAST can't leak; repeated documents each get their rows;
+Null and empty texts match nothing, as do rows without doc_id or item_id; items shorter than LEAST can't leak; repeated documents each get their rows;
 texts of any length are scanned whole. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -44,7 +44,7 @@ SENTENCE_END = r"^(.*?(?:[。？！]+|[.?!]+(?=\s|$)))"
 def without_shared_openings(items: DataFrame) -> DataFrame:
     """(item_id, unit, text): items in plain form, less an opening sentence that two or more items have; one that is all of an item stays."""
     opening = plain(F.regexp_extract("text", SENTENCE_END, 1))
-    t = items.select("item_id", F.when(F.lower("lang").startswith("zh"), CHARS).otherwise(WORDS).alias("unit"), plain(F.col("text")).alias("text"), opening.alias("opening"))
+    t = items.where("item_id is not null").select("item_id", F.when(F.lower("lang").startswith("zh"), CHARS).otherwise(WORDS).alias("unit"), plain(F.col("text")).alias("text"), opening.alias("opening"))
     shared = t.where("opening <> ''").groupBy("opening").agg(F.count_distinct("item_id").alias("n")).where("n > 1").select("opening", F.lit(True).alias("shared"))
     rest = F.expr("trim(substring(text, length(opening) + 1))")
     return t.join(shared, "opening", "left").select("item_id", "unit", F.when(F.col("shared") & (rest != ""), rest).otherwise(F.col("text")).alias("text")).where("text <> ''")
@@ -283,7 +283,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """One row per document and leaked item: the longest verbatim match that is part of a leak, its passage and its place in the document."""
     spark = documents.sparkSession
     items = cut(without_shared_openings(eval_items))  # read twice: to be counted and to be taken
-    docs = documents.select("doc_id", "text").where("text <> ''")
+    docs = documents.select("doc_id", "text").where("text <> '' and doc_id is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if chars <= MAX_ITEM_CHARS:
         rows = items.collect()  # at most MAX_ITEM_CHARS characters

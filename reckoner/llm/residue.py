@@ -12,7 +12,7 @@ through index and containment like all words; which brackets are delimiters is w
 Runs of words must hold most of one exemplar of five or more words (filler: a quarter) and count only outside quotes and outside of
 sentences that are genuine by exemplar, since running text mentions short notices more often than it is one.
 
-Null and empty texts have no windows and are no residue. Texts of any length are scanned whole; repeated documents each
+Null and empty texts have no windows and are no residue; a document without doc_id counts in the frequencies and can't be named. Texts of any length are scanned whole; repeated documents each
 get their rows. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -384,7 +384,7 @@ def candidate_windows(documents: DataFrame, index: Index, weight: Weights) -> Da
                 if len(s.terms) > MEMO:
                     s.reset()
 
-    return documents.select("doc_id", "text").mapInPandas(scan, CANDIDATE)
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(scan, CANDIDATE)
 
 
 def find_residue(documents: DataFrame, index: Index | None = None) -> DataFrame:

@@ -276,6 +276,14 @@ def test_residue(spark):
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(2**60 + 1, text), (None, text), (2**60 + 3, "404 Not Found"), (None, "404 Not Found")] + [(i, t) for i, t in enumerate(PLAIN)], "doc_id long, text string")
+    ev = spark.createDataFrame([(2**60 + 5, "en", text), (None, "en", text)], "item_id long, lang string, text string")
+    assert [(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, ev).collect()] == [(2**60 + 1, 2**60 + 5)]
+    assert {r.doc_id for r in residue.find_residue(docs).collect()} == {2**60 + 3}
+
+
 def test_document_frequencies_cover_all_documents(spark):
     df = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(500)], "doc_id long, text string").repartition(6)
     got = {r.term: r.df for r in residue.term_counts(df).collect()}
