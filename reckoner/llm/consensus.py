@@ -11,8 +11,7 @@ labels, annotators, items are no marks. Ties are broken by the smaller label. Em
 An annotator that stands in no triplet (fewer than two partners that agree beyond chance) gets the median of the task.
 
 Marks are shuffled once, by site, and all that follows per item stays where it is. The model's size is pairs of annotators that share items times
-labels, never items. Triplets are annotators times the square of `partners`, the partners with most shared items that each annotator is solved with;
-partners=None takes all of them, whatever their number.
+labels, never items. All triplets count, whatever their number: beyond a counted bound they are gone through in blocks of annotators (triplets.py).
 """
 
 from __future__ import annotations
@@ -22,10 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..session import broadcast_if_small, cut
+from .triplets import medians
 
 MAX_WEIGHTS = 200_000  # rows (annotator, label) of the model up to which it is broadcast
-FEW_SHARED = 20  # shared items at which a triplet weighs half
-PARTNERS = 64  # partners of each annotator that triplets are made of; None is exact for any number of annotators
 DEPENDENT = 0.25  # excess agreement from which a pair counts as dependent
 
 
@@ -68,11 +66,12 @@ def items_of(marks: DataFrame) -> DataFrame:
     return marks.groupBy("site_id", "field", "task").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
 
 
-def reliability(items: DataFrame, partners: int | None = PARTNERS) -> DataFrame:
+def reliability(items: DataFrame, partners: int | None = None) -> DataFrame:
     """(task, annotator, label, knows, habit, prior, share): the fitted model, one row per annotator and label.
 
     knows is a_i, habit is q_i(label), prior the share of the label among true answers, share the part of a vote
-    that is left to the annotator after dependence on others.
+    that is left to the annotator after dependence on others. All triplets count, unless a caller asks for the
+    `partners` with most shared items of each annotator.
     """
     several = items.where(F.size("votes") > 1)
     pairs = several.select("task", F.explode(F.expr(
@@ -118,20 +117,10 @@ def reliability(items: DataFrame, partners: int | None = PARTNERS) -> DataFrame:
 
 
 def _knows(e: DataFrame, without: DataFrame, partners: int | None) -> DataFrame:
-    """(task, i, knows): the median over triplets of the square root of e_ij * e_ik / e_jk, pairs in `without` left out.
-
-    Triplets weigh as e_jk squared, the inverse of the variance that a small denominator brings, and less if two of the three share few items (half at FEW_SHARED).
-    """
+    """(task, i, knows): the weighted median over the triplets of each annotator, pairs in `without` left out."""
     e = e.join(without, ["task", "i", "j"], "left_anti")
     near = e if partners is None else e.withColumn("_r", F.row_number().over(Window.partitionBy("task", "i").orderBy(F.desc("n"), "j"))).where(F.col("_r") <= partners).drop("_r")
-    ij, ik = near.select("task", "i", "j", F.col("e").alias("ij"), F.col("n").alias("nij")), near.select("task", "i", F.col("j").alias("k"), F.col("e").alias("ik"), F.col("n").alias("nik"))
-    jk = e.select("task", F.col("i").alias("j"), F.col("j").alias("k"), F.col("e").alias("jk"), F.col("n").alias("njk"))
-    t = ij.join(ik, ["task", "i"]).where("j < k").join(jk, ["task", "j", "k"]).where("jk > 0")
-    square = F.greatest(F.col("ij") * F.col("ik") / F.col("jk"), F.lit(0.0))
-    signed = F.when((F.col("ij") <= 0) & (F.col("ik") <= 0), 0.0).otherwise(F.sqrt(square))
-    fewest = F.least("nij", "nik", "njk")
-    t = t.select("task", "i", signed.alias("a"), F.ceil(1000 * F.col("jk") * F.col("jk") * fewest / (fewest + FEW_SHARED)).alias("w"))
-    return t.groupBy("task", "i").agg(F.least(F.expr("percentile(a, 0.5, w)"), F.lit(0.99)).alias("knows"))
+    return medians(near, e)
 
 
 def _dependence(e: DataFrame, knows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.llm import consensus, exemplars, leakage, mixing, residue, sampling
+from reckoner.llm import consensus, exemplars, leakage, mixing, residue, sampling, triplets
 from reckoner.llm.plaintext import plain
 
 from . import held_out
@@ -66,6 +66,69 @@ def test_partners_and_few_shared_items(spark):
     assert len(consensus.reliability(items, partners=2).select("annotator").distinct().collect()) == 7
 
 
+def middle(a, w):
+    """The median of values a, each as often as w tells."""
+    a, upto = a[np.argsort(a, kind="stable")], np.cumsum(w[np.argsort(a, kind="stable")])
+    low, high = a[np.searchsorted(upto, (upto[-1] - 1) // 2, "right")], a[np.searchsorted(upto, upto[-1] // 2, "right")]
+    return min(low if low == high else 0.5 * low + 0.5 * high, 0.99)
+
+
+def brute_medians(e):
+    """Every triplet of every annotator, one task."""
+    names = sorted({i for i, _ in e})
+    at, n = {x: r for r, x in enumerate(names)}, len(names)
+    m, shared = np.full((n, n), np.nan), np.zeros((n, n))
+    for (i, j), (x, c) in e.items():
+        m[at[i], at[j]], shared[at[i], at[j]] = x, c
+    got, upper = {}, np.triu(np.ones((n, n), bool), 1)
+    for i in names:
+        x, c = m[at[i]], shared[at[i]]
+        with np.errstate(all="ignore"):
+            ok = upper & (m > 0) & ~np.isnan(x[:, None] + x[None, :])
+            a = np.where((x[:, None] <= 0) & (x[None, :] <= 0), 0.0, np.sqrt(np.maximum(x[:, None] * x[None, :] / m, 0.0)))
+            few = np.minimum(np.minimum(c[:, None], c[None, :]), shared)
+            w = np.ceil(1000 * m * m * few / (few + 20))
+        if ok.any():
+            got[i] = middle(a[ok], w[ok].astype("int64"))
+    return got
+
+
+def test_every_triplet_counts(spark, monkeypatch):
+    """Medians over all triplets, joined and in blocks, equal brute force: a dense task, a sparse one, one with a hub, ties, and agreement below chance."""
+    rng = np.random.default_rng(4)
+    know = {t: rng.uniform(0, 1.1, 110) for t in ("dense", "sparse", "hub", "ties")}
+    e = {t: {} for t in know}
+    for t, a in know.items():
+        for i in range(110):
+            for j in range(i):
+                if t == "dense" or (t == "hub" and (j == 0 or rng.random() < 0.2)) or (t in ("sparse", "ties") and rng.random() < 0.08):
+                    x = float(np.round(a[i] * a[j], 1) if t == "ties" else a[i] * a[j] + rng.normal(0, 0.15)), int(rng.integers(1, 300))
+                    e[t][f"a{i}", f"a{j}"] = e[t][f"a{j}", f"a{i}"] = x
+    rows = [(t, i, j, *x) for t, es in e.items() for (i, j), x in es.items()]
+    df = spark.createDataFrame(rows + [("dense", None, "a1", 0.5, 9), ("dense", "a1", None, 0.5, 9)], "task string, i string, j string, e double, n long").cache()
+    want = {(t, i): k for t, es in e.items() for i, k in brute_medians(es).items()}
+    for way, edges in ((triplets.by_join, 0), (triplets.by_blocks, 700), (triplets.by_blocks, 10**6)):
+        monkeypatch.setattr(triplets, "BLOCK_EDGES", edges)
+        got = {(r.task, r.i): r.knows for r in way(df, df).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    assert 0.0 in want.values() and 0.99 in want.values() and len(want) > 350
+    assert triplets.by_blocks(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_annotators_beyond_64_partners(spark, monkeypatch):
+    """All partners of an annotator count by default, however many, and in blocks as when joined."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for s in range(60):
+        t = rng.integers(0, 3)
+        rows += [(f"s{s}", "f", "t", f"a{i}", str(t if rng.random() < 0.2 + i / 100 else rng.integers(0, 3))) for i in range(75) if rng.random() < 0.8]
+    items = consensus.items_of(spark.createDataFrame(rows, "site_id string, field string, task string, annotator string, label string")).cache()
+    pick = lambda m: {(r.annotator, r.label): round(r.knows, 9) for r in m.collect()}
+    every = pick(consensus.reliability(items, partners=74))
+    monkeypatch.setattr(triplets, "MAX_JOINED", 0)
+    assert pick(consensus.reliability(items)) == every
+
+
 def test_latest_mark_counts_and_nulls_are_no_marks(spark):
     later = T0 + dt.timedelta(days=1)
     rows = [
